@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillframe.llm import fertility, language_id, order_minhash, packing, token_files, word_bpe
+from quillframe.llm import fertility, language_id, line_dedup, order_minhash, packing, simhash, token_files, word_bpe
 from quillframe.llm.common import read_documents
 
 
@@ -14,6 +14,14 @@ def op3_bpe(spark, sf_dir):
     return word_bpe.encode_documents(spark, read_documents(spark, sf_dir))
 
 
+def op4_simhash(spark, sf_dir):
+    return simhash.near_duplicates(spark, read_documents(spark, sf_dir))
+
+
+def op6_line_dedup(spark, sf_dir):
+    return line_dedup.dedup_lines(spark, read_documents(spark, sf_dir))
+
+
 def op5_packing(spark, sf_dir):
     return packing.pack(spark, read_documents(spark, sf_dir))
 
@@ -30,5 +38,5 @@ def op10_fertility(spark, sf_dir):
     return fertility.quality(spark, read_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_order_minhash, op3_bpe, op5_packing, op7_token_files, op8_language_id, op10_fertility)}
+QUERIES = {f.__name__: f for f in (op2_order_minhash, op3_bpe, op4_simhash, op5_packing, op6_line_dedup, op7_token_files, op8_language_id, op10_fertility)}
 ORACLES: dict[str, str] = {}
