@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from quillframe.llm import fertility, language_id, line_dedup, order_minhash, packing, simhash, token_files, word_bpe
+from quillframe.llm import fertility, language_id, line_dedup, order_minhash, packing, simhash, suffix_dedup, token_files, word_bpe
 from quillframe.llm.common import read_documents
 
 
+def op1_suffix_array(spark, sf_dir):
+    out = suffix_dedup.dedup_bytes(spark, read_documents(spark, sf_dir))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op2_order_minhash(spark, sf_dir):
     return order_minhash.fingerprints_and_edits(spark, read_documents(spark, sf_dir))
 
@@ -38,5 +43,5 @@ def op10_fertility(spark, sf_dir):
     return fertility.quality(spark, read_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_order_minhash, op3_bpe, op4_simhash, op5_packing, op6_line_dedup, op7_token_files, op8_language_id, op10_fertility)}
+QUERIES = {f.__name__: f for f in (op1_suffix_array, op2_order_minhash, op3_bpe, op4_simhash, op5_packing, op6_line_dedup, op7_token_files, op8_language_id, op10_fertility)}
 ORACLES: dict[str, str] = {}
