@@ -199,3 +199,14 @@ def identify(spark: SparkSession, docs: DataFrame, per_language: int = PER_LANGU
     """
     out = predictions(spark, docs, fit(spark, docs, per_language))
     return out.select("doc_id", held_out().alias("held_out"), F.col("__lang_pred").alias("lang_pred"), F.col("__score").alias("score"))
+
+
+#: A document goes whose calibrated score is under this.
+LEAST_SCORE = 0.5
+
+
+def keep_identified(spark: SparkSession, docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
+    """The columns and rows of ``docs``, but for those predicted ``und`` or with a score under ``least``."""
+    names = docs.columns
+    out = predictions(spark, docs, fit(spark, docs), names)
+    return out.filter((F.col("__lang_pred") != "und") & (F.col("__score") >= least)).select(*[F.col(f"`{c}`") for c in names])

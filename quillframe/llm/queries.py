@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillframe.llm import fertility, language_id, line_dedup, order_minhash, packing, simhash, suffix_dedup, token_files, word_bpe
+from quillframe.llm import fertility, language_id, licenses, line_dedup, order_minhash, packing, simhash, suffix_dedup, token_files, word_bpe
 from quillframe.llm.common import read_documents
 
 
@@ -39,9 +39,13 @@ def op8_language_id(spark, sf_dir):
     return language_id.identify(spark, read_documents(spark, sf_dir))
 
 
+def op9_licenses(spark, sf_dir):
+    return licenses.scan(spark, read_documents(spark, sf_dir))
+
+
 def op10_fertility(spark, sf_dir):
     return fertility.quality(spark, read_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array, op2_order_minhash, op3_bpe, op4_simhash, op5_packing, op6_line_dedup, op7_token_files, op8_language_id, op10_fertility)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_suffix_array, op2_order_minhash, op3_bpe, op4_simhash, op5_packing, op6_line_dedup, op7_token_files, op8_language_id, op9_licenses, op10_fertility)}
+ORACLES: dict[str, str] = {"op9_licenses": licenses.oracle_sql()}

@@ -27,6 +27,8 @@ WORDS = 3
 DISTANCE = 2
 SEGMENTS = 7
 HOT = 64
+#: Shingle length of the pipeline stage; the contract of the query fixes three.
+PIPELINE_WORDS = 3
 
 
 def hashes(text: str | None, words: int = WORDS) -> list[int]:
