@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import checkpointed, prepare
+from quillframe.llm.common import checkpointed, mix64, prepare
 from quillframe.llm.components import connected_components
 
 SEED = 42
@@ -27,8 +27,10 @@ WORDS = 3
 DISTANCE = 2
 SEGMENTS = 7
 HOT = 64
-#: Shingle length of the pipeline stage; the contract of the query fixes three.
-PIPELINE_WORDS = 3
+#: Near duplicates by shingles: words a shingle, least Jaccard similarity, SimHash tables that find candidates.
+SHINGLE_WORDS = 5
+SIMILARITY = 0.8
+TABLES = 8
 
 
 def hashes(text: str | None, words: int = WORDS) -> list[int]:
@@ -140,16 +142,80 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = WORDS) ->
     return found.join(named, "fp").select("doc_id", shown.alias("fingerprint"), "component_id")
 
 
-def keep_one(spark: SparkSession, docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """The columns of ``docs``, of each near-duplicate group the row with the least (doc_id, digest), nulls last.
+def shingle_set(text: str | None, words: int = SHINGLE_WORDS) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles; fewer words: the whole sequence; none: the empty sequence."""
+    return np.unique(np.array(hashes(text, words) or [0], dtype=np.uint64))
 
-    Rows equal in doc_id and text are one.
+
+def word_fingerprints(text: str | None, tables: int = TABLES) -> list[int]:
+    """SimHashes of the distinct words, one a table: a shingle of five words changes with each of its words, a set of words with one."""
+    found = sorted(set((text or "").encode().lower().split()))
+    if not found:
+        return [0] * tables
+    h = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in found), np.uint64, len(found))
+    total = np.zeros((tables, 64), np.int64)
+    for at in range(0, len(h), 1 << 13):
+        part = h[at : at + (1 << 13)]
+        mixed = np.stack([mix64(part + np.uint64((i * 0x9E3779B97F4A7C15) % 2**64)) for i in range(tables)])
+        bits = np.unpackbits(mixed.view(np.uint8).reshape(tables, len(part), 8), axis=2, bitorder="little")
+        total += bits.sum(axis=1, dtype=np.int64)
+    return np.packbits(2 * total > len(h), axis=1, bitorder="little").view("<i8").ravel().tolist()
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumns({"__key": F.coalesce("doc_id", F.lit(2**63 - 1)), "__digest": F.xxhash64("text")})
+
+
+def similar_links(spark: SparkSession, docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, words: int = SHINGLE_WORDS, tables: int = TABLES, hot: int = HOT) -> DataFrame:
+    """(a, b): digests of different texts whose shingle sets have a Jaccard similarity of at least ``similarity``.
+
+    nodes: digest and fps (an array, one a table). Candidates are the pigeonring links of each table, between the first texts
+    of fingerprints, and each text with the first of its fingerprint; all are verified on the whole shingle sets.
     """
-    last = F.lit(2**63 - 1)
-    found = fingerprints(spark, docs, words).select(F.coalesce("doc_id", last).alias("__key"), F.col("digest").alias("__digest"), "fp")
-    found = checkpointed(spark, found)
-    groups = near_groups(spark, found)
-    first = found.groupBy("fp").agg(F.min(F.struct("__key", "__digest")).alias("first")).join(groups, "fp")
-    kept = first.groupBy("component").agg(F.min("first").alias("first")).select("first.*").distinct()
-    keyed = docs.withColumns({"__key": F.coalesce("doc_id", last), "__digest": F.xxhash64("text")})
-    return keyed.join(kept, ["__key", "__digest"], "left_semi").dropDuplicates(["__key", "__digest"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = []
+    for i in range(tables):
+        one = nodes.select("digest", F.get("fps", F.lit(i)).alias("fp"))
+        first = one.groupBy("fp").agg(F.min("digest").alias("rep"))
+        near = links(first.select("fp"), hot)
+        ends = near.join(first.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), "a").join(first.select(F.col("fp").alias("b"), F.col("rep").alias("rb")), "b")
+        same = one.join(first, "fp").filter("digest <> rep")
+        found += [ends.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")), same.select(F.least("digest", "rep").alias("a"), F.greatest("digest", "rep").alias("b"))]
+    pairs = found[0]
+    for more in found[1:]:
+        pairs = pairs.unionByName(more)
+    pairs = checkpointed(spark, pairs.distinct())
+    wanted = pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))).distinct()
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingle_set(t, words).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["digest", "shingles"])
+
+    texts = docs.select(F.xxhash64("text").alias("digest"), "text").join(wanted, "digest", "left_semi").dropDuplicates(["digest"])
+    sets = texts.select("digest", "text").mapInArrow(run, "digest long, shingles array<long>")
+    both = pairs.join(sets.select(F.col("digest").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("digest").alias("b"), F.col("shingles").alias("sb")), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    return both.filter(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+
+
+def keep_one(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY, words: int = SHINGLE_WORDS) -> DataFrame:
+    """The columns of ``docs``; of each group of equal or similar texts the row with the least (doc_id, digest), nulls last.
+
+    Rows equal in doc_id and text are one. Null and empty texts are equal to one another.
+    """
+    prepare(spark)
+
+    def run(batches):
+        for batch in batches:
+            fps = [word_fingerprints(t) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.list_(pa.int64()))], names=["key", "digest", "fps"])
+
+    keyed = _keyed(docs.select("doc_id", "text")).select(F.col("__key").alias("key"), F.col("__digest").alias("digest"), "text")
+    found = checkpointed(spark, keyed.mapInArrow(run, "key long, digest long, fps array<long>"))
+    nodes = found.dropDuplicates(["digest"]).select("digest", "fps")
+    labels = connected_components(spark, similar_links(spark, docs, nodes, similarity, words))
+    first = found.groupBy("digest").agg(F.min("key").alias("key"))
+    named = first.join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
+    kept = named.groupBy("label").agg(F.min(F.struct("key", "digest")).alias("k")).select(F.col("k.key").alias("__key"), F.col("k.digest").alias("__digest"))
+    out = _keyed(docs).join(kept, ["__key", "__digest"], "left_semi").dropDuplicates(["__key", "__digest"])
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
