@@ -42,3 +42,18 @@ TABLE_ROWS, TABLE_COLUMNS, DIRECT_FORMATS = 200, 30, 4
 NUMERALS = "一二三四五六七八九十"
 # fixed values: direct run attributes counted as formatting
 RUN_FORMATS = ["rFonts", "b", "i", "u", "strike", "color", "sz", "szCs", "highlight", "shd", "spacing"]
+# fixed values: suffixes of sub-fields, of attendance, of score bands
+ATTENDANCE = ["应到", "实到", "缺考", "缓考", "作弊", "取消考试资格"]
+BANDS = ["<60", "60-69", "70-79", "80-89", "90-100"]
+SUB_SUFFIXES = ["第1列", "第2列", "第3列", "第4列", "第5列", "一题", "二题", "三题", "四题", "五题", "六题", "七题", "八题", "九题", *BANDS, *ATTENDANCE]
+GENERIC_SUFFIXES = ["课程目标", "实现途径", "评价方法", "实际平均分", "目标达成评价值"]
+ATTENDANCE_KEY, BAND_BASE = "考勤数据", "分数分布"
+# fixed values: categories of the preparation list, by keyword
+CATEGORIES = [
+    ("must_fill", ["课程名称", "教学班级", "教师", "开课", "学期", "学院", "课程性质", "考核方式", "命题形式", "考试形式"]),
+    ("computable", ["平均分", "最高分", "最低分", "标准差", "达成度", "达成评价", "百分比", "占比", "比例", "及格率"]),
+]
+OPTIONAL_WORDS = ["签字", "参与人", "备注", "说明", "建议", "改进"]
+# fixed values: marks of a ticked box
+TICK = "√"
+CHECK_VALUES = ["√", "✓", "是", "否"]
