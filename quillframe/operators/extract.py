@@ -48,7 +48,7 @@ def rule_extract(spark, texts: DataFrame, labels: DataFrame, key: str = "file_or
     hit = lines(texts, key, text).join(terms, F.contains(F.col("raw"), F.col("term")))
     quoted = F.regexp_replace("term", r"([\\.\[\]{}()*+?^$|\-/])", r"\\$1")
     s, raw = F.col("stripped"), F.col("raw")
-    after = lambda c, pattern: F.regexp_extract(c, pattern, F.lit(1))
+    after = lambda c, pattern: F.call_function("regexp_extract", c, pattern, F.lit(1))
     options = []
     for i, sep in enumerate(["：", ":", "＝", "="]):
         pattern = F.concat(F.lit(r"(?U)(?:^|\|)\s*"), quoted, F.lit(rf"\s*{sep}\s*(.+?)(?:\s*\||$)"))

@@ -20,6 +20,7 @@ from quillframe.functions import text as T
 from quillframe.functions import values as V
 from quillframe.operators import relational as R
 from quillframe.operators.cells import ROW, TABLE, classified, row_roles
+from quillframe.session import checkpointed
 
 FIELD = (
     "doc_id string, field_id string, pattern string, fill_mode string, t int, r int, c int, line int, label string, raw_label string, "
@@ -321,19 +322,23 @@ def consolidated(emitted: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def analyze(cells: DataFrame, paragraphs: DataFrame | None = None, runs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """FLD9: (fields, row groups) of every document in the ``cell`` relation."""
-    c = classified(cells)
-    rows = row_roles(c)
-    colon = colon_fields(c, rows)
-    blank = label_blank_fields(c, rows, colon)
+    """FLD9: (fields, row groups) of every document in the ``cell`` relation.
+
+    Cells, roles and the fields of each phase are read by several later phases, so each is checkpointed: it is computed once,
+    survives lost executors, and keeps the plan of the next phase small.
+    """
+    kept = lambda df: checkpointed(cells.sparkSession, df)
+    c = kept(classified(cells))
+    rows = kept(row_roles(c))
+    colon = kept(colon_fields(c, rows))
+    blank = kept(label_blank_fields(c, rows, colon))
     lone = placeholder_fields(c, rows, colon.unionByName(blank))
-    ticks = checkbox_fields(c, rows)
-    earlier = colon.unionByName(blank).unionByName(lone).unionByName(ticks)
+    earlier = kept(colon.unionByName(blank).unionByName(lone).unionByName(checkbox_fields(c, rows)))
     emitted = earlier.unionByName(multi_column_fields(c, rows, earlier))
     if paragraphs is not None and runs is not None:
         emitted = emitted.unionByName(underline_fields(paragraphs, runs))
-    groups = row_groups(rows)
-    return consolidated(emitted, groups), groups
+    groups = kept(row_groups(rows))
+    return kept(consolidated(kept(emitted), groups)), groups
 
 
 def summary(fields: DataFrame, groups: DataFrame) -> DataFrame:
