@@ -29,8 +29,8 @@ def label_edits(fields: DataFrame, values: DataFrame) -> DataFrame:
     """FIL3, FIL10, JN16, D14: a cell edit for each row of a field with a value, by field_id or by label; tick boxes apart."""
     f = fields.filter("pattern <> 'checkbox'")
     v = values.filter(T.strip(F.coalesce("value", F.lit(""))) != "").select("doc_id", F.col("label").alias("key"), "value")
-    by_id = f.join(v, (f["doc_id"] == v["doc_id"]) & (f["field_id"] == v["key"])).select(f["*"], v["value"], F.lit(0).alias("tier"))
-    by_label = f.join(v, (f["doc_id"] == v["doc_id"]) & (f["label"] == v["key"])).select(f["*"], v["value"], F.lit(1).alias("tier"))
+    by_id = f.withColumn("key", F.col("field_id")).join(v, ["doc_id", "key"]).withColumn("tier", F.lit(0))
+    by_label = f.withColumn("key", F.col("label")).join(v, ["doc_id", "key"]).withColumn("tier", F.lit(1))
     best = by_id.unionByName(by_label).groupBy("doc_id", "field_id").agg(F.min_by(F.struct("pattern", "fill_mode", "t", "c", "label", "raw_label", "existing_value", "row_indices", "value"), "tier").alias("f")).select("doc_id", "f.*")
     return best.select(
         "doc_id",

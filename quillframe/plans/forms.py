@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillframe.operators import cells as C
 from quillframe.operators import expand, extract, fields as FL, fill, preview, reports, state, validate
+from quillframe.session import checkpointed
 from quillframe.sources import files as SRC
 
 
@@ -64,16 +65,17 @@ def form_status(template: Template, writes: DataFrame) -> DataFrame:
 
 def generate(template: Template, data: DataFrame, generic: bool = True) -> tuple[DataFrame, DataFrame]:
     """generate_edu_report, generate_from_template, generate_form_document: path C. data (doc_id, json); gives the filled files and the edits."""
-    values = expand.expanded(expand.kv_rows(data), template.fields, generic)
+    kept = lambda df: checkpointed(data.sparkSession, df)  # noqa: E731  used several times by the next step
+    values = kept(expand.expanded(expand.kv_rows(data), template.fields, generic))
     classified, rows = template.roles
-    plan = fill.edits(template.fields, template.groups, template.cells, classified, rows, values)
-    return fill.apply(template.files, plan), plan
+    plan = kept(fill.edits(template.fields, template.groups, template.cells, kept(classified), kept(rows), values))
+    return kept(fill.apply(template.files, plan)), plan
 
 
 def check(spark: SparkSession, template: Template, filled: DataFrame) -> dict[str, DataFrame]:
     """validate, compare, diff and repair filled files (path, content) against their templates, which have the same path."""
     out = filled.select("path", F.lit(".docx").alias("ext"), F.length("content").cast("long").alias("length"), "content")
-    cells, runs, nodes = SRC.cells(out), SRC.runs(out), SRC.nodes(out)
+    cells, runs, nodes = (checkpointed(spark, d) for d in (SRC.cells(out), SRC.runs(out), SRC.nodes(out)))
     documents = out.select(F.col("path").alias("doc_id"))
     found = validate.issues(nodes, cells, runs, documents)
     rows = validate.diff(template.cells, cells).unionByName(validate.underline_diff(template.runs, runs))

@@ -1,5 +1,6 @@
 import datetime
 import json
+import os
 import random
 
 import pytest
@@ -120,6 +121,7 @@ def test_streaming_fold(spark, tmp_path):
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).json(str(source))
     for i in range(3):
         (source / f"{i}.json").write_text("\n".join(json.dumps(dict(zip(["session_id", "seq", "field_id", "value", "confidence"], r))) for r in rows[i * 20 : i * 20 + 20]))
+        os.utime(source / f"{i}.json", (1_700_000_000 + i, 1_700_000_000 + i))  # files are taken by time
     q = sessions.sessions(stream).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(180)
     assert q.exception() is None and out == sessions.reference_fold(rows)
