@@ -13,6 +13,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillframe.session import checkpointed, release, shared_folder
+
+__all__ = ["checkpointed", "release", "shared_folder"]
+
 #: Rows an Arrow batch carries to a Python worker. Texts are long, so batches are short.
 BATCH_ROWS = 512
 BATCH_BYTES = 16 << 20
@@ -35,25 +39,6 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A folder that driver and executors share: the one the session names, else (in tests) a temporary one."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    context = spark.sparkContext
-    if not hasattr(context, "_quillframe_folder"):
-        context._quillframe_folder = tempfile.mkdtemp(prefix="quillframe-shared-")
-    return context._quillframe_folder
-
-
-def checkpointed(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Cut lineage through reliable storage: the folder the session names, or one of our own where it names none."""
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
-
-
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

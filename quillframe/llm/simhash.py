@@ -97,13 +97,14 @@ def _signed(x: int) -> int:
 
 
 def links(nodes: DataFrame, hot: int = HOT) -> DataFrame:
-    """(a, b): links between the distinct fingerprints ``fp`` of nodes that give the same components as all pairs within DISTANCE."""
+    """(tab, a, b): links between distinct fingerprints (tab, fp) of one table that give the same components as all pairs within DISTANCE."""
     keys, chains = ring()
-    keyed = nodes.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(k)) for k in keys])).alias("start", "key"))
-    sizes = keyed.groupBy("start", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    held = keyed.join(sizes, ["start", "key"])
+    keyed = nodes.select("tab", "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(k)) for k in keys])).alias("start", "key"))
+    at = ["tab", "start", "key"]
+    sizes = keyed.groupBy(*at).agg(F.count("*").alias("n")).filter("n > 1")
+    held = keyed.join(sizes, at)
     cold = held.filter(F.col("n") <= hot)
-    one, two = cold.select("start", "key", F.col("fp").alias("a")), cold.select("start", "key", F.col("fp").alias("b"))
+    one, two = cold.select(*at, F.col("fp").alias("a")), cold.select(*at, F.col("fp").alias("b"))
     differ = F.col("a").bitwiseXOR(F.col("b"))
     within = F.lit(False)
     for start, tests in enumerate(chains):
@@ -111,18 +112,18 @@ def links(nodes: DataFrame, hot: int = HOT) -> DataFrame:
         for mask, most in tests:
             chain = chain & (F.bit_count(differ.bitwiseAND(F.lit(mask))) <= most)
         within = within | chain
-    pairs = one.join(two, ["start", "key"]).filter((F.col("a") < F.col("b")) & within).select("a", "b")
+    pairs = one.join(two, at).filter((F.col("a") < F.col("b")) & within).select("tab", "a", "b")
     near = [F.col("fp")] + [F.col("fp").bitwiseXOR(F.lit(_signed(1 << i))) for i in range(64)]
-    spread = held.filter(F.col("n") > hot).select("fp").distinct().select("fp", F.explode(F.array(*near)).alias("near"))
-    stars = spread.groupBy("near").agg(F.collect_set("fp").alias("fps")).filter(F.size("fps") > 1)
-    stars = stars.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).filter("a <> b")
+    spread = held.filter(F.col("n") > hot).select("tab", "fp").distinct().select("tab", "fp", F.explode(F.array(*near)).alias("near"))
+    stars = spread.groupBy("tab", "near").agg(F.collect_set("fp").alias("fps")).filter(F.size("fps") > 1)
+    stars = stars.select("tab", F.array_min("fps").alias("a"), F.explode("fps").alias("b")).filter("a <> b")
     return pairs.unionByName(stars).distinct()
 
 
 def near_groups(spark: SparkSession, found: DataFrame) -> DataFrame:
     """fp, component (the label fingerprint) of the distinct fingerprints in ``found`` (checkpointed)."""
     nodes = found.select("fp").distinct()
-    labels = connected_components(spark, links(nodes))
+    labels = connected_components(spark, links(nodes.select(F.lit(0).alias("tab"), "fp")))
     return nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("label", "fp").alias("component"))
 
 
@@ -172,18 +173,13 @@ def similar_links(spark: SparkSession, docs: DataFrame, nodes: DataFrame, simila
     nodes: digest and fps (an array, one a table). Candidates are the pigeonring links of each table, between the first texts
     of fingerprints, and each text with the first of its fingerprint; all are verified on the whole shingle sets.
     """
-    found = []
-    for i in range(tables):
-        one = nodes.select("digest", F.get("fps", F.lit(i)).alias("fp"))
-        first = one.groupBy("fp").agg(F.min("digest").alias("rep"))
-        near = links(first.select("fp"), hot)
-        ends = near.join(first.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), "a").join(first.select(F.col("fp").alias("b"), F.col("rep").alias("rb")), "b")
-        same = one.join(first, "fp").filter("digest <> rep")
-        found += [ends.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")), same.select(F.least("digest", "rep").alias("a"), F.greatest("digest", "rep").alias("b"))]
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.unionByName(more)
-    pairs = checkpointed(spark, pairs.distinct())
+    one = nodes.select("digest", F.posexplode(F.slice("fps", 1, tables)).alias("tab", "fp"))
+    first = checkpointed(spark, one.groupBy("tab", "fp").agg(F.min("digest").alias("rep")))
+    near = links(first.select("tab", "fp"), hot)
+    end = lambda x: first.select("tab", F.col("fp").alias(x), F.col("rep").alias(f"rep_{x}"))
+    ends = near.join(end("a"), ["tab", "a"]).join(end("b"), ["tab", "b"]).select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"))
+    same = one.join(first, ["tab", "fp"]).filter("digest <> rep").select(F.least("digest", "rep").alias("a"), F.greatest("digest", "rep").alias("b"))
+    pairs = checkpointed(spark, ends.unionByName(same).filter("a <> b").distinct())
     wanted = pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))).distinct()
 
     def run(batches):
@@ -212,7 +208,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARIT
 
     keyed = _keyed(docs.select("doc_id", "text")).select(F.col("__key").alias("key"), F.col("__digest").alias("digest"), "text")
     found = checkpointed(spark, keyed.mapInArrow(run, "key long, digest long, fps array<long>"))
-    nodes = found.dropDuplicates(["digest"]).select("digest", "fps")
+    nodes = found.groupBy("digest").agg(F.first("fps").alias("fps"))
     labels = connected_components(spark, similar_links(spark, docs, nodes, similarity, words))
     first = found.groupBy("digest").agg(F.min("key").alias("key"))
     named = first.join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))

@@ -23,7 +23,6 @@ and removes the same bytes.
 
 from __future__ import annotations
 
-import gc
 import uuid
 
 import numpy as np
@@ -32,7 +31,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import mix64, prepare, sha256, shared_folder, window_hashes
+from quillframe.llm.common import mix64, prepare, release, sha256, shared_folder, window_hashes
 
 LENGTH = 100
 GRAM = 32
@@ -288,8 +287,7 @@ def stored(spark: SparkSession, df: DataFrame) -> DataFrame:
     """Cut lineage with a table in the shared folder, then let go of the shuffles that made it."""
     path = f"{shared_folder(spark).rstrip('/')}/suffix-dedup-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    release(spark)
     return spark.read.parquet(path)
 
 
