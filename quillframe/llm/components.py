@@ -54,3 +54,9 @@ def connected_components(spark: SparkSession, links: DataFrame) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+
+
+def hub_pairs(crowd: DataFrame) -> DataFrame:
+    """crowd (key, id): each id of a key with the least one, as (a, b)."""
+    hubs = crowd.groupBy("key").agg(F.min("id").alias("a"))
+    return crowd.join(hubs, "key").filter("id <> a").select("a", F.col("id").alias("b"))
