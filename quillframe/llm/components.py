@@ -60,3 +60,19 @@ def hub_pairs(crowd: DataFrame) -> DataFrame:
     """crowd (key, id): each id of a key with the least one, as (a, b)."""
     hubs = crowd.groupBy("key").agg(F.min("id").alias("a"))
     return crowd.join(hubs, "key").filter("id <> a").select("a", F.col("id").alias("b"))
+
+
+def cross_pairs(crowd: DataFrame, labels: DataFrame, allowed=None) -> DataFrame:
+    """crowd (key, id, mark): the pairs (a, b) of a key that labels (node, label) do not connect; ``allowed`` is a condition on their marks ma and mb.
+
+    With the links that gave the labels, testing these is testing every pair of each key: the others are connected.
+    """
+    named = crowd.join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "mark", F.coalesce("label", "id").alias("label"))
+    groups = named.select("key", "label").distinct()
+    other = groups.select("key", F.col("label").alias("lb")).join(groups.select("key", F.col("label").alias("la")), "key").filter("la < lb")
+    one = named.select("key", F.col("label").alias("la"), F.col("id").alias("x"), F.col("mark").alias("ma"))
+    two = named.select("key", F.col("label").alias("lb"), F.col("id").alias("y"), F.col("mark").alias("mb"))
+    both = other.join(one, ["key", "la"]).join(two, ["key", "lb"])
+    if allowed is not None:
+        both = both.filter(allowed)
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
