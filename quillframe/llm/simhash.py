@@ -20,17 +20,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillframe.llm.common import checkpointed, mix64, prepare
-from quillframe.llm.components import connected_components
+from quillframe.llm.components import connected_components, hub_pairs
 
 SEED = 42
 WORDS = 3
 DISTANCE = 2
 SEGMENTS = 7
 HOT = 64
-#: Near duplicates by shingles: words a shingle, least Jaccard similarity, SimHash tables that find candidates.
+#: Near duplicates by shingles: words a shingle, least Jaccard similarity; MinHash bands that find candidates, and rows a band: a pair
+#: of similarity s is found with probability 1 - (1 - s**ROWS)**BANDS, 0.99999 at SIMILARITY.
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
-TABLES = 8
+BANDS = 16
+ROWS = 3
 
 
 def hashes(text: str | None, words: int = WORDS) -> list[int]:
@@ -148,38 +150,27 @@ def shingle_set(text: str | None, words: int = SHINGLE_WORDS) -> np.ndarray:
     return np.unique(np.array(hashes(text, words) or [0], dtype=np.uint64))
 
 
-def word_fingerprints(text: str | None, tables: int = TABLES) -> list[int]:
-    """SimHashes of the distinct words, one a table: a shingle of five words changes with each of its words, a set of words with one."""
-    found = sorted(set((text or "").encode().lower().split()))
-    if not found:
-        return [0] * tables
-    h = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in found), np.uint64, len(found))
-    total = np.zeros((tables, 64), np.int64)
-    for at in range(0, len(h), 1 << 13):
-        part = h[at : at + (1 << 13)]
-        mixed = np.stack([mix64(part + np.uint64((i * 0x9E3779B97F4A7C15) % 2**64)) for i in range(tables)])
-        bits = np.unpackbits(mixed.view(np.uint8).reshape(tables, len(part), 8), axis=2, bitorder="little")
-        total += bits.sum(axis=1, dtype=np.int64)
-    return np.packbits(2 * total > len(h), axis=1, bitorder="little").view("<i8").ravel().tolist()
+_FACTORS = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
+def band_keys(shingles: np.ndarray) -> list[int]:
+    """A key a band: a digest of its number and of the least of the shingles in each of ROWS orders."""
+    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+    mixed = mix64(shingles)
+    for at in range(0, len(mixed), 1 << 13):
+        least = np.minimum(least, (mixed[at : at + (1 << 13), None] * _FACTORS[None, :]).min(axis=0))
+    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for row in least.reshape(BANDS, ROWS).T:
+        key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + row)
+    return key.view("<i8").tolist()
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"__key": F.coalesce("doc_id", F.lit(2**63 - 1)), "__digest": F.xxhash64("text")})
 
 
-def similar_links(spark: SparkSession, docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, words: int = SHINGLE_WORDS, tables: int = TABLES, hot: int = HOT) -> DataFrame:
-    """(a, b): digests of different texts whose shingle sets have a Jaccard similarity of at least ``similarity``.
-
-    nodes: digest and fps (an array, one a table). Candidates are the pigeonring links of each table, between the first texts
-    of fingerprints, and each text with the first of its fingerprint; all are verified on the whole shingle sets.
-    """
-    one = nodes.select("digest", F.posexplode(F.slice("fps", 1, tables)).alias("tab", "fp"))
-    first = checkpointed(spark, one.groupBy("tab", "fp").agg(F.min("digest").alias("rep")))
-    near = links(first.select("tab", "fp"), hot)
-    end = lambda x: first.select("tab", F.col("fp").alias(x), F.col("rep").alias(f"rep_{x}"))
-    ends = near.join(end("a"), ["tab", "a"]).join(end("b"), ["tab", "b"]).select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"))
-    same = one.join(first, ["tab", "fp"]).filter("digest <> rep").select(F.least("digest", "rep").alias("a"), F.greatest("digest", "rep").alias("b"))
-    pairs = checkpointed(spark, ends.unionByName(same).filter("a <> b").distinct())
+def verified(docs: DataFrame, pairs: DataFrame, similarity: float, words: int) -> DataFrame:
+    """The pairs (a, b) of text digests whose shingle sets have at least ``similarity``."""
     wanted = pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))).distinct()
 
     def run(batches):
@@ -194,6 +185,21 @@ def similar_links(spark: SparkSession, docs: DataFrame, nodes: DataFrame, simila
     return both.filter(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
+def similar_groups(spark: SparkSession, docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, words: int = SHINGLE_WORDS, hot: int = HOT) -> DataFrame:
+    """node, label: the components of digests of texts whose shingle sets have a Jaccard similarity of at least ``similarity``.
+
+    nodes: digest and keys (an array, one a band). All pairs of a key are candidates and verified on the whole shingle sets. In a key of over
+    ``hot`` texts each is verified against the least.
+    """
+    keyed = nodes.select(F.col("digest").alias("id"), F.explode("keys").alias("key")).repartition("key")
+    held = checkpointed(spark, keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key"))
+    cold, crowd = held.filter(F.col("n") <= hot), held.filter(F.col("n") > hot).select("key", "id", F.lit(0).alias("mark"))
+    one, two = cold.select("key", F.col("id").alias("a")), cold.select("key", F.col("id").alias("b"))
+    pairs = one.join(two, "key").filter("a < b").select("a", "b").unionByName(hub_pairs(crowd))
+    edges = verified(docs, checkpointed(spark, pairs.distinct()), similarity, words)
+    return connected_components(spark, edges)
+
+
 def keep_one(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY, words: int = SHINGLE_WORDS) -> DataFrame:
     """The columns of ``docs``; of each group of equal or similar texts the row with the least (doc_id, digest), nulls last.
 
@@ -203,13 +209,12 @@ def keep_one(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARIT
 
     def run(batches):
         for batch in batches:
-            fps = [word_fingerprints(t) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.list_(pa.int64()))], names=["key", "digest", "fps"])
+            keys = [band_keys(shingle_set(t, words)) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64()))], names=["key", "digest", "keys"])
 
     keyed = _keyed(docs.select("doc_id", "text")).select(F.col("__key").alias("key"), F.col("__digest").alias("digest"), "text")
-    found = checkpointed(spark, keyed.mapInArrow(run, "key long, digest long, fps array<long>"))
-    nodes = found.groupBy("digest").agg(F.first("fps").alias("fps"))
-    labels = connected_components(spark, similar_links(spark, docs, nodes, similarity, words))
+    found = checkpointed(spark, keyed.mapInArrow(run, "key long, digest long, keys array<long>"))
+    labels = similar_groups(spark, docs, found.select("digest", "keys").dropDuplicates(["digest"]), similarity, words)
     first = found.groupBy("digest").agg(F.min("key").alias("key"))
     named = first.join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
     kept = named.groupBy("label").agg(F.min(F.struct("key", "digest")).alias("k")).select(F.col("k.key").alias("__key"), F.col("k.digest").alias("__digest"))

@@ -100,3 +100,35 @@ def test_components(spark, edges):
     nodes = sorted({x for e in edges for x in e})
     root = groups(len(nodes), lambda a, b: (nodes[a], nodes[b]) in edges or (nodes[b], nodes[a]) in edges)
     assert got == {n: min(m for j, m in enumerate(nodes) if root[j] == root[i]) for i, n in enumerate(nodes)}
+
+
+def jaccard_groups(texts):
+    sets = [set(S.shingle_set(t).tolist()) for t in texts]
+    root = groups(len(texts), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    return {frozenset(i for i, r in enumerate(root) if r == x) for x in root}
+
+
+def found_similar(spark, texts, hot=S.HOT):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    S.prepare(spark)
+    nodes = spark.createDataFrame([(t, S.band_keys(S.shingle_set(t))) for t in texts], "text string, keys array<long>").selectExpr("xxhash64(text) AS digest", "text", "keys").cache()
+    at = {r["digest"]: texts.index(r["text"]) for r in nodes.collect()}
+    label = {at[r["node"]]: r["label"] for r in S.similar_groups(spark, docs, nodes.select("digest", "keys"), hot=hot).collect()}
+    out = {}
+    for i in range(len(texts)):
+        out.setdefault(label.get(i, ("alone", i)), set()).add(i)
+    return {frozenset(g) for g in out.values()}
+
+
+def test_block_append_and_scattered_edits_are_found(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    texts = []
+    for i in range(12):
+        base = [word() for _ in range(300)]
+        block = base[:100] + [word() for _ in range(15 + i)] + base[115 + i :]
+        more = base + [word() for _ in range(30 + 2 * i)]
+        spread = [word() if j % 75 == 30 else w for j, w in enumerate(base)]
+        texts += [" ".join(x) for x in (base, block, more, spread)]
+    want = jaccard_groups(texts)
+    assert len(want) == 12 and found_similar(spark, texts) == want
