@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillframe.llm.common import checkpointed, mix64, prepare
-from quillframe.llm.components import connected_components, hub_pairs
+from quillframe.llm.components import connected_components, cross_pairs, hub_pairs
 
 SEED = 42
 WORDS = 3
@@ -189,7 +189,7 @@ def similar_groups(spark: SparkSession, docs: DataFrame, nodes: DataFrame, simil
     """node, label: the components of digests of texts whose shingle sets have a Jaccard similarity of at least ``similarity``.
 
     nodes: digest and keys (an array, one a band). All pairs of a key are candidates and verified on the whole shingle sets. In a key of over
-    ``hot`` texts each is verified against the least.
+    ``hot`` texts each is verified against the least, then those against each other that the links found do not connect.
     """
     keyed = nodes.select(F.col("digest").alias("id"), F.explode("keys").alias("key")).repartition("key")
     held = checkpointed(spark, keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key"))
@@ -197,7 +197,11 @@ def similar_groups(spark: SparkSession, docs: DataFrame, nodes: DataFrame, simil
     one, two = cold.select("key", F.col("id").alias("a")), cold.select("key", F.col("id").alias("b"))
     pairs = one.join(two, "key").filter("a < b").select("a", "b").unionByName(hub_pairs(crowd))
     edges = verified(docs, checkpointed(spark, pairs.distinct()), similarity, words)
-    return connected_components(spark, edges)
+    if crowd.isEmpty():
+        return connected_components(spark, edges)
+    edges = checkpointed(spark, edges)
+    rest = checkpointed(spark, cross_pairs(crowd, connected_components(spark, edges)))
+    return connected_components(spark, edges.unionByName(verified(docs, rest, similarity, words)))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY, words: int = SHINGLE_WORDS) -> DataFrame:

@@ -132,3 +132,13 @@ def test_block_append_and_scattered_edits_are_found(spark):
         texts += [" ".join(x) for x in (base, block, more, spread)]
     want = jaccard_groups(texts)
     assert len(want) == 12 and found_similar(spark, texts) == want
+
+
+def test_hub_that_fails_loses_no_link(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(200)]
+    texts = [" ".join(base), " ".join(base[:100] + ["new"] + base[101:])]
+    texts += [" ".join(base[:k] + rng.sample(base[k:], 200 - k)) for k in (0, 40, 120, 150, 160, 165)]
+    texts += [" ".join(base[30 * i :] + [word() for _ in range(30 * i)]) for i in range(1, 5)]
+    assert found_similar(spark, texts, 1) == jaccard_groups(texts)
