@@ -192,7 +192,9 @@ def similar_groups(spark: SparkSession, docs: DataFrame, nodes: DataFrame, simil
     ``hot`` texts each is verified against the least, then those against each other that the links found do not connect.
     """
     keyed = nodes.select(F.col("digest").alias("id"), F.explode("keys").alias("key")).repartition("key")
-    held = checkpointed(spark, keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key"))
+    # one exchange serves the counts and the join, as both read all columns
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi").select("key", "n")
+    held = checkpointed(spark, keyed.join(sizes, "key"))
     cold, crowd = held.filter(F.col("n") <= hot), held.filter(F.col("n") > hot).select("key", "id", F.lit(0).alias("mark"))
     one, two = cold.select("key", F.col("id").alias("a")), cold.select("key", F.col("id").alias("b"))
     pairs = one.join(two, "key").filter("a < b").select("a", "b").unionByName(hub_pairs(crowd))
