@@ -206,7 +206,13 @@ LEAST_SCORE = 0.5
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """The columns and rows of ``docs``, but for those predicted ``und`` or with a score under ``least``."""
+    """The columns and rows of ``docs``, but for those predicted ``und`` or with a score under ``least``.
+
+    If no row can be learnt from (no lang at all, or only on held-out rows), languages are unknown, and all documents with a letter stay.
+    """
     names = docs.columns
-    out = predictions(spark, docs, fit(spark, docs), names)
+    model = fit(spark, docs)
+    if not model.labels:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    out = predictions(spark, docs, model, names)
     return out.filter((F.col("__lang_pred") != "und") & (F.col("__score") >= least)).select(*[F.col(f"`{c}`") for c in names])
