@@ -1,34 +1,78 @@
-"""What every operator may need of a session: the folder that executors share, and lineage cut through it."""
+"""What every operator may need of a session: the folder that executors share, and lineage cut through tables in it."""
 
 from __future__ import annotations
 
-import gc
 import tempfile
+import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark deletes the shuffle files of a finished SQL execution where this is set.
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """A folder that driver and executors share: the one the session names, else (in tests) a temporary one."""
+    """The folder that driver and executors share: the one that spark.checkpoint.dir names.
+
+    Where none is named a local master gets a temporary folder; a cluster gets an error, since its executors
+    would write to folders that no one else sees.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not hasattr(context, "_quillframe_folder"):
         context._quillframe_folder = tempfile.mkdtemp(prefix="quillframe-shared-")
     return context._quillframe_folder
 
 
-def release(spark: SparkSession) -> None:
-    """Let go of shuffle files of finished frames: Spark deletes them once the driver's garbage is collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    """A session setting for the time of one action; then the caller's own again."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def stored(spark: SparkSession, df: DataFrame, name: str = "table") -> DataFrame:
+    """Cut lineage with a table in the shared folder.
+
+    The shuffles that made it go with the execution; the table goes when the driver's JVM ends, or earlier by ``discard``.
+    """
+    path = f"{shared_folder(spark).rstrip('/')}/quillframe-{name}-{uuid.uuid4().hex}"
+    delete_at_end(spark, path)
+    with setting(spark, CLEAN_SHUFFLES, "true"):
+        df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quillframe_path = path
+    return out
+
+
+def _filesystem(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Have a folder deleted when the driver's JVM ends."""
+    system, at = _filesystem(spark, path)
+    system.mkdirs(at.getParent())
+    system.deleteOnExit(at)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``stored`` that nothing reads any more."""
+    for table in tables:
+        system, at = _filesystem(table.sparkSession, table._quillframe_path)
+        system.delete(at, True)
 
 
 def checkpointed(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Cut lineage through reliable storage; what earlier steps shuffled goes before this one shuffles more."""
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(shared_folder(spark))
-    release(spark)
-    return df.checkpoint(eager=True)
+    """``stored`` under the name of what it is for: each step of a plan starts from a table, not from its history."""
+    return stored(spark, df, "step")
