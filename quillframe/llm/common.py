@@ -13,9 +13,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillframe.session import checkpointed, release, shared_folder
+from quillframe.session import checkpointed, delete_at_end, discard, shared_folder, stored
 
-__all__ = ["checkpointed", "release", "shared_folder"]
+__all__ = ["checkpointed", "delete_at_end", "discard", "shared_folder", "stored"]
 
 #: Rows an Arrow batch carries to a Python worker. Texts are long, so batches are short.
 BATCH_ROWS = 512
@@ -25,7 +25,7 @@ ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 
 def prepare(spark: SparkSession) -> None:
-    """Ship this package to the executors once per context and keep Arrow batches small."""
+    """Ship this package to the executors once per context and keep Arrow batches small (where the session's are smaller, they stay)."""
     context = spark.sparkContext
     if not getattr(context, "_quillframe_shipped", False):
         root = Path(__file__).resolve().parents[2]
@@ -35,14 +35,27 @@ def prepare(spark: SparkSession) -> None:
                 out.write(p, p.relative_to(root))
         context.addPyFile(path)
         context._quillframe_shipped = True
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key).lower().rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, most)
 
 
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def boxed(docs: DataFrame, null_key: int = 2**63 - 1) -> DataFrame:
+    """key (doc_id; nulls are ``null_key``: last), digest (of the text), row (all columns as a struct): names of docs can not clash with an operator's own."""
+    row = F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
+    return docs.select(F.coalesce("doc_id", F.lit(null_key)).alias("key"), F.xxhash64("text").alias("digest"), row.alias("row"))
+
+
+def unboxed(df: DataFrame, names: list[str]) -> DataFrame:
+    """The columns of ``row`` again."""
+    return df.select(*[F.col("row.`" + c.replace("`", "``") + "`").alias(c) for c in names])
+
+
 def sha256(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 

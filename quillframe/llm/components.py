@@ -56,16 +56,11 @@ def connected_components(spark: SparkSession, links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
-def hub_pairs(crowd: DataFrame) -> DataFrame:
-    """crowd (key, id): each id of a key with the least one, as (a, b)."""
-    hubs = crowd.groupBy("key").agg(F.min("id").alias("a"))
-    return crowd.join(hubs, "key").filter("id <> a").select("a", F.col("id").alias("b"))
-
-
-def cross_pairs(crowd: DataFrame, labels: DataFrame, allowed=None) -> DataFrame:
+def cross_pairs(crowd: DataFrame, labels: DataFrame, allowed=None, marks: bool = False) -> DataFrame:
     """crowd (key, id, mark): the pairs (a, b) of a key that labels (node, label) do not connect; ``allowed`` is a condition on their marks ma and mb.
 
     With the links that gave the labels, testing these is testing every pair of each key: the others are connected.
+    With ``marks`` the pairs keep their marks.
     """
     named = crowd.join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "mark", F.coalesce("label", "id").alias("label"))
     groups = named.select("key", "label").distinct()
@@ -75,4 +70,5 @@ def cross_pairs(crowd: DataFrame, labels: DataFrame, allowed=None) -> DataFrame:
     both = other.join(one, ["key", "la"]).join(two, ["key", "lb"])
     if allowed is not None:
         both = both.filter(allowed)
-    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    out = both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), *["ma", "mb"] * marks)
+    return out if marks else out.distinct()

@@ -19,20 +19,23 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import checkpointed, mix64, prepare
-from quillframe.llm.components import connected_components, cross_pairs, hub_pairs
+from quillframe.llm.common import boxed, checkpointed, discard, mix64, prepare, unboxed
+from quillframe.llm.components import connected_components, cross_pairs
 
 SEED = 42
 WORDS = 3
 DISTANCE = 2
 SEGMENTS = 7
 HOT = 64
-#: Near duplicates by shingles: words a shingle, least Jaccard similarity; MinHash bands that find candidates, and rows a band: a pair
-#: of similarity s is found with probability 1 - (1 - s**ROWS)**BANDS, 0.99999 at SIMILARITY.
+#: Near duplicates by shingles: words a shingle; least similarity, as SimHash estimates it: the cosine of the angle between the texts'
+#: shingle sets. At a cosine of 0.8 sets have a Jaccard similarity s of 0.64 to 0.67 (by how their sizes differ), and the MinHash bands
+#: that find candidates miss (1 - s**ROWS)**BANDS of such pairs: 0.8 to 0.3 %.
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 BANDS = 16
 ROWS = 3
+#: Candidates are compared whole only if this share of their least hashes agrees: three and a half standard errors under 0.64.
+LEAST_AGREED = 0.4
 
 
 def hashes(text: str | None, words: int = WORDS) -> list[int]:
@@ -153,24 +156,51 @@ def shingle_set(text: str | None, words: int = SHINGLE_WORDS) -> np.ndarray:
 _FACTORS = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
-def band_keys(shingles: np.ndarray) -> list[int]:
-    """A key a band: a digest of its number and of the least of the shingles in each of ROWS orders."""
+def least_hashes(shingles: np.ndarray) -> np.ndarray:
+    """The least of the shingles in each of BANDS * ROWS orders."""
     least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
     mixed = mix64(shingles)
     for at in range(0, len(mixed), 1 << 13):
         least = np.minimum(least, (mixed[at : at + (1 << 13), None] * _FACTORS[None, :]).min(axis=0))
+    return least
+
+
+def band_keys(least: np.ndarray) -> list[int]:
+    """A key a band: a digest of its number and of the least hashes of its ROWS orders."""
     key = np.arange(1, BANDS + 1, dtype=np.uint64)
     for row in least.reshape(BANDS, ROWS).T:
         key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + row)
     return key.view("<i8").tolist()
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({"__key": F.coalesce("doc_id", F.lit(2**63 - 1)), "__digest": F.xxhash64("text")})
+def sketches(spark: SparkSession, docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
+    """key, digest, keys (one a band) and mins (a byte of each least hash) of every row."""
+    prepare(spark)
+
+    def run(batches):
+        for batch in batches:
+            least = [least_hashes(shingle_set(t, words)) for t in batch.column(2).to_pylist()]
+            arrays = [pa.array([band_keys(x) for x in least], pa.list_(pa.int64())), pa.array([(x >> np.uint64(56)).astype(np.uint8).tobytes() for x in map(mix64, least)], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=["key", "digest", "keys", "mins"])
+
+    return boxed(docs.select("doc_id", "text")).select("key", "digest", "row.text").mapInArrow(run, "key long, digest long, keys array<long>, mins binary")
+
+
+def may_be_similar(pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b, ma, mb) whose least hashes agree in LEAST_AGREED of their orders or more."""
+
+    def run(batches):
+        for batch in batches:
+            n = batch.num_rows
+            if n:
+                one, two = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(n, -1) for i in (2, 3))
+                yield batch.select([0, 1]).filter(pa.array((one == two).mean(axis=1) >= LEAST_AGREED))
+
+    return pairs.select("a", "b", "ma", "mb").mapInArrow(run, "a long, b long")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, similarity: float, words: int) -> DataFrame:
-    """The pairs (a, b) of text digests whose shingle sets have at least ``similarity``."""
+    """The pairs (a, b) of text digests whose shingle sets have at least ``similarity`` (cosine)."""
     wanted = pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))).distinct()
 
     def run(batches):
@@ -182,47 +212,40 @@ def verified(docs: DataFrame, pairs: DataFrame, similarity: float, words: int) -
     sets = texts.select("digest", "text").mapInArrow(run, "digest long, shingles array<long>")
     both = pairs.join(sets.select(F.col("digest").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("digest").alias("b"), F.col("shingles").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
-    return both.filter(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    return both.filter(common >= similarity * F.sqrt(F.size("sa").cast("double") * F.size("sb")) - 1e-9).select("a", "b")
 
 
-def similar_groups(spark: SparkSession, docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, words: int = SHINGLE_WORDS, hot: int = HOT) -> DataFrame:
-    """node, label: the components of digests of texts whose shingle sets have a Jaccard similarity of at least ``similarity``.
+def similar_groups(spark: SparkSession, docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, words: int = SHINGLE_WORDS) -> DataFrame:
+    """node, label: the components of digests of texts whose shingle sets have a cosine similarity of at least ``similarity``.
 
-    nodes: digest and keys (an array, one a band). All pairs of a key are candidates and verified on the whole shingle sets. In a key of over
-    ``hot`` texts each is verified against the least, then those against each other that the links found do not connect.
+    nodes: digest, keys, mins of distinct texts. Every key is treated alike, however many texts share it: each of its texts is compared with
+    one of them, then those with each other that the links found do not connect. So every pair of a key is either tested or connected.
     """
-    keyed = nodes.select(F.col("digest").alias("id"), F.explode("keys").alias("key")).repartition("key")
-    # one exchange serves the counts and the join, as both read all columns
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi").select("key", "n")
-    held = checkpointed(spark, keyed.join(sizes, "key"))
-    cold, crowd = held.filter(F.col("n") <= hot), held.filter(F.col("n") > hot).select("key", "id", F.lit(0).alias("mark"))
-    one, two = cold.select("key", F.col("id").alias("a")), cold.select("key", F.col("id").alias("b"))
-    pairs = one.join(two, "key").filter("a < b").select("a", "b").unionByName(hub_pairs(crowd))
-    edges = verified(docs, checkpointed(spark, pairs.distinct()), similarity, words)
-    if crowd.isEmpty():
-        return connected_components(spark, edges)
-    edges = checkpointed(spark, edges)
-    rest = checkpointed(spark, cross_pairs(crowd, connected_components(spark, edges)))
-    return connected_components(spark, edges.unionByName(verified(docs, rest, similarity, words)))
+    keyed = nodes.select(F.col("digest").alias("id"), "mins", F.explode("keys").alias("key"))
+    hubs = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("hub")).filter("n > 1").select("key", "hub")
+    held = checkpointed(spark, keyed.join(hubs, "key").select("key", "id", F.col("mins").alias("mark"), "hub"))
+    mins = nodes.select(F.col("digest").alias("hub"), F.col("mins").alias("hub_mins"))
+    spokes = held.filter("id <> hub").select("id", "mark", "hub").distinct().join(mins, "hub")
+    spokes = checkpointed(spark, may_be_similar(spokes.select(F.col("hub").alias("a"), F.col("id").alias("b"), F.col("hub_mins").alias("ma"), F.col("mark").alias("mb"))))
+    edges = checkpointed(spark, verified(docs, spokes, similarity, words))
+    crowd = held.select("key", "id", "mark")
+    rest = may_be_similar(cross_pairs(crowd, connected_components(spark, edges), marks=True))
+    rest = checkpointed(spark, rest.distinct())
+    more = checkpointed(spark, verified(docs, rest, similarity, words))
+    discard(held, spokes, rest)
+    return connected_components(spark, edges.unionByName(more))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY, words: int = SHINGLE_WORDS) -> DataFrame:
-    """The columns of ``docs``; of each group of equal or similar texts the row with the least (doc_id, digest), nulls last.
+    """The columns of ``docs``, whatever their names; of each group of equal or similar texts the row with the least (doc_id, digest), nulls last.
 
-    Rows equal in doc_id and text are one. Null and empty texts are equal to one another.
+    Rows equal in doc_id and text are one. Null texts are equal to one another, and so are empty ones and those without a word. Very long
+    texts are hashed whole, one at a time. An empty table gives no rows.
     """
-    prepare(spark)
-
-    def run(batches):
-        for batch in batches:
-            keys = [band_keys(shingle_set(t, words)) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64()))], names=["key", "digest", "keys"])
-
-    keyed = _keyed(docs.select("doc_id", "text")).select(F.col("__key").alias("key"), F.col("__digest").alias("digest"), "text")
-    found = checkpointed(spark, keyed.mapInArrow(run, "key long, digest long, keys array<long>"))
-    labels = similar_groups(spark, docs, found.select("digest", "keys").dropDuplicates(["digest"]), similarity, words)
+    found = checkpointed(spark, sketches(spark, docs, words))
+    labels = similar_groups(spark, docs, found.select("digest", "keys", "mins").dropDuplicates(["digest"]), similarity, words)
     first = found.groupBy("digest").agg(F.min("key").alias("key"))
     named = first.join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
-    kept = named.groupBy("label").agg(F.min(F.struct("key", "digest")).alias("k")).select(F.col("k.key").alias("__key"), F.col("k.digest").alias("__digest"))
-    out = _keyed(docs).join(kept, ["__key", "__digest"], "left_semi").dropDuplicates(["__key", "__digest"])
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = checkpointed(spark, named.groupBy("label").agg(F.min(F.struct("key", "digest")).alias("k")).select("k.*"))
+    discard(found)
+    return unboxed(boxed(docs).join(kept, ["key", "digest"], "left_semi").dropDuplicates(["key", "digest"]), docs.columns)

@@ -23,15 +23,13 @@ and removes the same bytes.
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import mix64, prepare, release, sha256, shared_folder, window_hashes
+from quillframe.llm.common import boxed, mix64, prepare, sha256, stored, unboxed, window_hashes
 
 LENGTH = 100
 GRAM = 32
@@ -283,14 +281,6 @@ def window_rows(batches):
             yield whole.slice(i, 20_000)
 
 
-def stored(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Cut lineage with a table in the shared folder, then let go of the shuffles that made it."""
-    path = f"{shared_folder(spark).rstrip('/')}/suffix-dedup-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    release(spark)
-    return spark.read.parquet(path)
-
-
 PLACE = ("doc", "digest", "lo")
 
 
@@ -355,9 +345,9 @@ def cut(data: bytes, spans: list[dict] | None) -> tuple[bytes, int, int]:
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    keyed = docs.withColumns({"__doc": F.coalesce("doc_id", F.lit(-(2**63))), "__digest": F.xxhash64("text")})
-    named = spans.select(F.col("doc").alias("__doc"), F.col("digest").alias("__digest"), F.col("spans").alias("__spans"))
-    return keyed.join(named.hint("shuffle_hash"), ["__doc", "__digest"], "left").drop("__doc", "__digest")
+    """row (the columns of docs as a struct), spans."""
+    named = spans.select(F.col("doc").alias("key"), "digest", "spans")
+    return boxed(docs, -(2**63)).join(named.hint("shuffle_hash"), ["key", "digest"], "left").select("row", "spans")
 
 
 def dedup_bytes(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -380,29 +370,29 @@ def dedup_bytes(spark: SparkSession, docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    return with_spans(docs.select("doc_id", "text"), spans).select("doc_id", "text", "__spans").mapInArrow(run, schema)
+    return with_spans(docs.select("doc_id", "text"), spans).select("row.doc_id", "row.text", "spans").mapInArrow(run, schema)
 
 
 def clean(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The columns of ``docs`` with the repeated bytes taken out of text; bytes of a letter cut in two go as well.
+    """The columns of ``docs``, whatever their names, with the repeated bytes taken out of text; bytes of a letter cut in two go as well.
 
-    A document of which nothing but white space is left goes.
+    A document of which nothing but white space is left goes. Null texts stay; rows equal in doc_id and text are one document and change
+    alike; an empty table gives no rows. Very long texts are hashed in chunks, one text in memory at a time.
     """
     spans = removed_spans(spark, docs)
-    names = docs.columns
-    at = names.index("text")
-    schema = docs.schema
+    schema = with_spans(docs, spans).select("row").schema
 
     def run(batches):
         for batch in batches:
-            texts = []
-            for text, found in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist()):
-                texts.append(cut(text.encode(), found)[0].decode(errors="ignore") if found else text)
-            gone = pa.array([bool(f) and not (t or "").strip() for t, f in zip(texts, batch.column(len(names)).to_pylist())], pa.bool_())
-            columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.compute.invert(gone))
-
-    return with_spans(docs, spans).select(*[F.col(f"`{c}`") for c in names], "__spans").mapInArrow(run, schema)
+            row, found = batch.column(0), batch.column(1).to_pylist()
+            names = [f.name for f in row.type]
+            texts = row.field(names.index("text")).to_pylist()
+            texts = [cut(t.encode(), f)[0].decode(errors="ignore") if f else t for t, f in zip(texts, found)]
+            gone = pa.array([bool(f) and not (t or "").strip() for t, f in zip(texts, found)], pa.bool_())
+            fields = [pa.array(texts, pa.string()) if n == "text" else row.field(i) for i, n in enumerate(names)]
+            yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(fields, fields=list(row.type))], names=["row"]).filter(pa.compute.invert(gone))
+
+    return unboxed(with_spans(docs, spans).mapInArrow(run, schema), docs.columns)
 
 
 def maximal_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:

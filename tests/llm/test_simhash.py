@@ -102,18 +102,17 @@ def test_components(spark, edges):
     assert got == {n: min(m for j, m in enumerate(nodes) if root[j] == root[i]) for i, n in enumerate(nodes)}
 
 
-def jaccard_groups(texts):
+def similar_by_definition(texts):
     sets = [set(S.shingle_set(t).tolist()) for t in texts]
-    root = groups(len(texts), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    root = groups(len(texts), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * (len(sets[a]) * len(sets[b])) ** 0.5 - 1e-9)
     return {frozenset(i for i, r in enumerate(root) if r == x) for x in root}
 
 
-def found_similar(spark, texts, hot=S.HOT):
+def found_similar(spark, texts):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    S.prepare(spark)
-    nodes = spark.createDataFrame([(t, S.band_keys(S.shingle_set(t))) for t in texts], "text string, keys array<long>").selectExpr("xxhash64(text) AS digest", "text", "keys").cache()
-    at = {r["digest"]: texts.index(r["text"]) for r in nodes.collect()}
-    label = {at[r["node"]]: r["label"] for r in S.similar_groups(spark, docs, nodes.select("digest", "keys"), hot=hot).collect()}
+    nodes = S.checkpointed(spark, S.sketches(spark, docs))
+    at = {r["digest"]: r["key"] for r in nodes.collect()}
+    label = {at[r["node"]]: r["label"] for r in S.similar_groups(spark, docs, nodes).collect()}
     out = {}
     for i in range(len(texts)):
         out.setdefault(label.get(i, ("alone", i)), set()).add(i)
@@ -130,7 +129,7 @@ def test_block_append_and_scattered_edits_are_found(spark):
         more = base + [word() for _ in range(30 + 2 * i)]
         spread = [word() if j % 75 == 30 else w for j, w in enumerate(base)]
         texts += [" ".join(x) for x in (base, block, more, spread)]
-    want = jaccard_groups(texts)
+    want = similar_by_definition(texts)
     assert len(want) == 12 and found_similar(spark, texts) == want
 
 
@@ -141,4 +140,26 @@ def test_hub_that_fails_loses_no_link(spark):
     texts = [" ".join(base), " ".join(base[:100] + ["new"] + base[101:])]
     texts += [" ".join(base[:k] + rng.sample(base[k:], 200 - k)) for k in (0, 40, 120, 150, 160, 165)]
     texts += [" ".join(base[30 * i :] + [word() for _ in range(30 * i)]) for i in range(1, 5)]
-    assert found_similar(spark, texts, 1) == jaccard_groups(texts)
+    assert found_similar(spark, texts) == similar_by_definition(texts)
+
+
+def test_recall_by_similarity(spark):
+    """Pairs with scattered edits, from far under the bound to far over it: what is linked is similar, and of what is similar 0.97 is linked."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    texts = []
+    for i in range(120):
+        base = [word() for _ in range(rng.choice((60, 200, 600)))]
+        every = rng.choice((12, 20, 25, 30, 40, 60, 100))
+        texts += [" ".join(base), " ".join(word() if j % every == 3 else w for j, w in enumerate(base))]
+    want = {g for g in similar_by_definition(texts) if len(g) > 1}
+    got = {g for g in found_similar(spark, texts) if len(g) > 1}
+    assert 40 < len(want) < 100 and got <= want and len(got) >= 0.97 * len(want)
+
+
+def test_keep_one_with_clashing_names(spark):
+    names = ["doc_id", "text", "key", "digest", "row", "__key", "keys"]
+    rows = [(i, "one two three", *"abcde") for i in (2, 1, 1, None)]
+    docs = spark.createDataFrame(rows, ", ".join(f"`{n}` {'long' if n == 'doc_id' else 'string'}" for n in names))
+    out = S.keep_one(spark, docs)
+    assert out.columns == names and [tuple(r) for r in out.collect()] == [rows[1]]

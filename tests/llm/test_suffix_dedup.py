@@ -45,9 +45,9 @@ def test_whole_against_brute_force(spark, hot):
     spans = S.removed_spans(spark, docs, hot)
     got = []
     for r in S.with_spans(docs, spans).collect():
-        data = (r["text"] or "").encode()
-        kept, n, runs = S.cut(data, r["__spans"])
-        got.append((r["doc_id"], len(data), n, runs, hashlib.sha256(kept).hexdigest()))
+        data = (r["row"]["text"] or "").encode()
+        kept, n, runs = S.cut(data, r["spans"])
+        got.append((r["row"]["doc_id"], len(data), n, runs, hashlib.sha256(kept).hexdigest()))
     assert sorted(got) == brute(rows)
 
 
