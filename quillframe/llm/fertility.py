@@ -1,29 +1,42 @@
 """Quality rules (operator 10): tokeniser fertility.
 
-A public word-piece vocabulary with byte fallback measures a text word by word: code points per token,
-the share of tokens that are single fallback bytes, and the entropy of the text's tokens relative to the
-most that so many tokens could have. A text whose measures leave the band of its language, or else of its
-main script, is rejected. Bands are parameters; the defaults below are wide, so that they take out text the
-vocabulary cannot read (random symbols, broken encodings, endless repetition) and leave prose alone.
-
-The base rules of the contract (word count, repeated five-word windows, symbols, repeated lines) are measured in
-the same pass. Everything is a function of one document, so nothing is shuffled.
+Two public vocabularies encode every whole text: a word-piece vocabulary with byte fallback, which gives the characters a token, the share
+of tokens that are single fallback bytes and the entropy of the text's tokens relative to the most that so many tokens could have; and
+a byte-level vocabulary, which gives its own characters a token. A text whose measures leave the band of its language, or else of its
+main script, is rejected.
+
+Bands are fitted on all documents that pass the base rules: a band is the median of its group and WIDTH robust standard deviations
+(of the quartiles) to either side; a share of junk under a quarter does not move it. The spread of each measure shrinks with a
+text's length, so groups are a language and a class of length (doublings of the token count); where a group has under MIN_GROUP texts
+the language alone, the script and class, or the script alone serve, and where those are small as well the fixed bands BANDS, which only
+take out what a vocabulary cannot read. Characters a token may leave on either side, the byte share above, the entropy below.
+
+The base rules of the contract (word count, repeated five-word windows, symbols, repeated lines) are measured in the same pass over the
+texts. The measures, some numbers a document, are written to a table; the quantiles are pre-aggregated over it.
 """
 
 from __future__ import annotations
 
+import base64
 import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from quillframe.llm.common import ASCII_SPACE, mix64, prepare, tokenizer_path
+from pyspark.sql import functions as F
+
+from quillframe.llm.common import ASCII_SPACE, mix64, prepare, stored, tokenizer_path
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
-CACHE_WORDS = 300_000
-#: script or language: least and most code points a token, most byte share, least relative entropy
+#: A fitted band: robust standard deviations to either side of the median; texts that a group needs; least deviations taken.
+WIDTH = 4.0
+MIN_GROUP = 30
+FLOORS = {"chars_per_token": 0.01, "byte_chars_per_token": 0.01, "byte_share": 0.003, "token_entropy": 0.005}
+#: Bands beyond this number are joined by shuffle instead of broadcast.
+BROADCAST_ROWS = 100_000
+#: Fixed bands. Script or language: least and most code points a token, most byte share, least relative entropy
 BANDS = {
     "latin": (1.2, 12.0, 0.30, 0.25),
     "greek": (0.8, 8.0, 0.50, 0.25),
@@ -40,55 +53,31 @@ SCRIPTS = ["latin", "greek", "cyrillic", "other", "hebrew", "arabic", "other", "
 _LOADED: dict = {}
 
 
-class Pieces:
-    """Word-wise ids of the vocabulary, remembered for at most CACHE_WORDS words."""
+class Vocabularies:
+    """The worker's copies of the two vocabularies."""
 
-    def __init__(self, path: str | None = None):
+    def __init__(self, piece_path: str | None = None, byte_path: str | None = None):
+        import public_tokenizers
         import sentencepiece
+        import tiktoken
+
+        self.pieces = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model", piece_path))
+        self.is_byte = np.array([self.pieces.is_byte(i) for i in range(self.pieces.get_piece_size())])
+        with open(tokenizer_path("byte_bpe_multi_50k.tiktoken", byte_path), "rb") as lines:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        self.bytes = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def vocabularies(piece_path: str | None = None, byte_path: str | None = None) -> Vocabularies:
+    if (piece_path, byte_path) not in _LOADED:
+        _LOADED[piece_path, byte_path] = Vocabularies(piece_path, byte_path)
+    return _LOADED[piece_path, byte_path]
+
 
-        self.model = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model", path))
-        self.is_byte = np.array([self.model.is_byte(i) for i in range(self.model.get_piece_size())])
-        self.reset()
-
-    def reset(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.flat = np.zeros(1 << 16, np.int32)
-        self.ends = np.zeros(1 << 16, np.int64)
-        self.n_flat = 0
-
-    def words(self, text: str) -> np.ndarray:
-        """The table rows of a text's words."""
-        words = text.encode().split()
-        try:
-            return np.array([self.index[w] for w in words], dtype=np.int64)
-        except KeyError:
-            if len(self.index) > CACHE_WORDS:
-                self.reset()
-            new = [w for w in dict.fromkeys(words) if w not in self.index]
-            ids = self.model.encode([w.decode() for w in new], num_threads=1)
-            sizes = np.array([len(x) for x in ids])
-            n, need = len(self.index), self.n_flat + int(sizes.sum())
-            while len(self.flat) < need:
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            while len(self.ends) < n + len(new) + 1:
-                self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-            self.flat[self.n_flat : need] = [t for x in ids for t in x]
-            self.ends[n + 1 : n + 1 + len(new)] = self.n_flat + np.cumsum(sizes)
-            self.n_flat = need
-            self.index.update(zip(new, range(n, n + len(new))))
-            return np.array([self.index[w] for w in words], dtype=np.int64)
-
-    def tokens(self, rows: np.ndarray) -> np.ndarray:
-        start, size = self.ends[rows], self.ends[rows + 1] - self.ends[rows]
-        total = int(size.sum())
-        jump = np.repeat(start - (np.cumsum(size) - size), size)
-        return self.flat[jump + np.arange(total)]
-
-
-def pieces(path: str | None = None) -> Pieces:
-    if path not in _LOADED:
-        _LOADED[path] = Pieces(path)
-    return _LOADED[path]
+def numbered(text: str) -> np.ndarray:
+    """The text's words, equal ones by equal numbers."""
+    seen: dict[bytes, int] = {}
+    return np.array([seen.setdefault(w, len(seen)) for w in text.encode().split()], dtype=np.int64)
 
 
 def repeated_words(rows: np.ndarray, window: int = WINDOW) -> int:
@@ -132,61 +121,104 @@ def relative_entropy(tokens: np.ndarray, vocabulary: int) -> float:
     return float(-(p * np.log2(p)).sum() / math.log2(min(n, vocabulary)))
 
 
-def measure(text: str | None, known: Pieces) -> dict:
+def measure(text: str | None, known: Vocabularies) -> dict:
     text = text or ""
-    rows = known.words(text)
-    tokens = known.tokens(rows) if len(rows) else np.zeros(0, np.int32)
-    word_chars = len(text) - sum(map(text.count, ASCII_SPACE))
+    rows = numbered(text)
+    tokens = np.array(known.pieces.encode(text, num_threads=1), dtype=np.int64)
+    n_bytes = len(known.bytes.encode_to_numpy(text, disallowed_special=()))
     lines = [x for x in text.split("\n") if x.strip(ASCII_SPACE)]
+    repeated = repeated_words(rows)
     return {
         "n_words": len(rows),
-        "word_chars": word_chars,
+        "word_chars": len(text) - sum(map(text.count, ASCII_SPACE)),
         "n_symbols": sum(map(text.count, SYMBOLS)),
         "n_dup_lines": len(lines) - len(set(lines)),
-        "n_repeat_words": repeated_words(rows),
+        "n_repeat_words": repeated,
+        "base_failed": len(rows) < 10 or 100 * repeated > 20 * len(rows),
         "n_tokens": len(tokens),
-        "chars_per_token": word_chars / len(tokens) if len(tokens) else 0.0,
+        "chars_per_token": len(text) / len(tokens) if len(tokens) else 0.0,
+        "byte_chars_per_token": len(text) / n_bytes if n_bytes else 0.0,
         "byte_share": float(known.is_byte[tokens].mean()) if len(tokens) else 0.0,
         "token_entropy": relative_entropy(tokens, len(known.is_byte)) if len(tokens) else 0.0,
         "script": main_script(text),
     }
 
 
-def verdict(m: dict, lang: str | None, bands: dict) -> bool:
-    low, high, share, entropy = bands.get(lang) or bands.get(m["script"]) or bands["other"]
-    return low <= m["chars_per_token"] <= high and m["byte_share"] <= share and m["token_entropy"] >= entropy
-
-
 FIELDS = (
-    "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, "
-    "n_tokens long, chars_per_token double, byte_share double, token_entropy double, script string"
+    "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
+    "n_tokens long, chars_per_token double, byte_chars_per_token double, byte_share double, token_entropy double, script string, lang string"
 )
 
 
-def quality(spark: SparkSession, docs: DataFrame, bands: dict | None = None, path: str | None = None) -> DataFrame:
-    """Operator 10: a row a row with the base counts, the fertility measures and the verdict.
-
-    ``bands`` maps a language (where ``docs`` has a lang column) or a script to (least code points a token, most,
-    most byte share, least relative entropy). Null and empty texts have no words: base_failed, not kept. Repeated
-    rows are measured each; an empty table gives no rows; a null lang falls back on the script.
-    """
+def measures(spark: SparkSession, docs: DataFrame, piece_path: str | None = None, byte_path: str | None = None) -> DataFrame:
+    """The base counts and fertility measures of every row."""
     prepare(spark)
-    bands = {**BANDS, **(bands or {})}
     names = [f.split()[0] for f in FIELDS.split(", ")]
-    columns = ["doc_id", "text"] + ["lang"] * ("lang" in docs.columns)
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
 
     def run(batches):
-        known = pieces(path)
+        known = vocabularies(piece_path, byte_path)
         for batch in batches:
             out = []
-            langs = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * batch.num_rows
-            for doc_id, text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), langs):
-                m = measure(text, known)
-                m["doc_id"] = doc_id
-                m["base_failed"] = m["n_words"] < 10 or 100 * m["n_repeat_words"] > 20 * m["n_words"]
-                m["kept"] = not m["base_failed"] and verdict(m, lang, bands)
+            for doc_id, text, lang in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                m = measure(text, known) | {"doc_id": doc_id, "lang": lang}
                 out.append([m[n] for n in names])
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) if n in ("script", "lang") else pa.array(c, pa.int64()) if n == "doc_id" else pa.array(c) for n, c in zip(names, zip(*out))], names=names)
+
+    return docs.select("doc_id", "text", lang.alias("lang")).mapInArrow(run, FIELDS)
 
-    return docs.select(*columns).mapInArrow(run, FIELDS)
+
+#: Groups from the narrowest on: name, and the columns that make them. ``size`` is the class of length.
+GROUPS = (("language, length", ("lang", "size")), ("language", ("lang",)), ("script, length", ("script", "size")), ("script", ("script",)))
+
+
+def sized(measured: DataFrame) -> DataFrame:
+    return measured.withColumn("size", F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))))
+
+
+def fitted(measured: DataFrame, columns: tuple[str, ...], width: float = WIDTH, min_group: int = MIN_GROUP) -> DataFrame:
+    """Of each group of ``columns`` with enough texts that pass the base rules: a struct ``band`` of (low, high) by measure."""
+    good = sized(measured).filter(~F.col("base_failed")).dropna(subset=list(columns))
+    quartiles = [F.percentile_approx(m, [0.25, 0.5, 0.75], 10_000).alias(m) for m in FLOORS]
+    found = good.groupBy(*columns).agg(F.count("*").alias("texts"), *quartiles).filter(F.col("texts") >= min_group)
+    spread = {m: F.greatest((F.col(m)[2] - F.col(m)[0]) / 1.349, F.lit(floor)) * width for m, floor in FLOORS.items()}
+    return found.select(*columns, F.struct(*[F.struct((F.col(m)[1] - spread[m]).alias("low"), (F.col(m)[1] + spread[m]).alias("high")).alias(m) for m in FLOORS]).alias("band"))
+
+
+def quality(spark: SparkSession, docs: DataFrame, bands: dict | None = None, piece_path: str | None = None, byte_path: str | None = None, width: float = WIDTH, min_group: int = MIN_GROUP) -> DataFrame:
+    """Operator 10: a row a row with the base counts, the fertility measures, the group whose band was taken and the verdict.
+
+    ``bands`` maps a language (where ``docs`` has a lang column) or a script to a fixed band in place of the fitted ones: (least code points
+    a token, most, most byte share, least relative entropy). Null and empty texts have no words: base_failed, not kept. Repeated rows are
+    measured each and count each in the fit; an empty table gives no rows; a null lang falls back on the script; other columns, whatever
+    their names, are not read. A very long text is encoded whole.
+    """
+    measured = sized(stored(spark, measures(spark, docs, piece_path, byte_path), "fertility"))
+    out = measured
+    for i, (_, columns) in enumerate(GROUPS):
+        table = stored(spark, fitted(measured, columns, width, min_group).withColumnRenamed("band", f"band{i}"), "bands")
+        out = out.join(F.broadcast(table) if table.count() <= BROADCAST_ROWS else table, list(columns), "left")
+    band = F.coalesce(*[F.col(f"band{i}") for i in range(len(GROUPS))])
+    group = F.coalesce(*[F.when(F.col(f"band{i}").isNotNull(), F.lit(name)) for i, (name, _) in enumerate(GROUPS)], F.lit("fixed"))
+    inside = F.col("chars_per_token").between(band["chars_per_token"]["low"], band["chars_per_token"]["high"])
+    inside &= F.col("byte_chars_per_token").between(band["byte_chars_per_token"]["low"], band["byte_chars_per_token"]["high"])
+    inside &= (F.col("byte_share") <= band["byte_share"]["high"]) & (F.col("token_entropy") >= band["token_entropy"]["low"])
+
+    def within(fixed: tuple):
+        low, high, share, entropy = fixed
+        return F.col("chars_per_token").between(low, high) & (F.col("byte_share") <= share) & (F.col("token_entropy") >= entropy)
+
+    verdict = F.when(band.isNotNull(), inside)
+    for script, fixed in BANDS.items():
+        verdict = verdict.when(F.col("script") == script, within(fixed))
+    if bands:
+        named = F.when(F.lit(False), F.lit(True))
+        for column in ("lang", "script"):
+            for name, fixed in bands.items():
+                named = named.when(F.col(column) == name, within(fixed))
+        own = F.col("lang").isin(list(bands)) | F.col("script").isin(list(bands))
+        verdict, group = F.when(F.coalesce(own, F.lit(False)), named).otherwise(verdict), F.when(F.coalesce(own, F.lit(False)), F.lit("given")).otherwise(group)
+    kept = F.when(F.col("base_failed"), F.lit(False)).otherwise(F.coalesce(verdict, F.lit(True)))
+    base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    return out.select(*base, kept.alias("kept"), "n_tokens", *FLOORS, "script", group.alias("band"))

@@ -1,6 +1,7 @@
 """Operators on one document or its neighbour: Order MinHash, language ID, fertility, licenses."""
 
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter
@@ -155,10 +156,62 @@ def test_fertility(spark, small):
     assert {r["doc_id"]: r["kept"] for r in fertility.quality(spark, junk, {"other": (0.5, 12.0, 0.5, 0.2)}).collect()} == {1: False, 2: True}
 
 
-def test_fertility_words_equal_whole_encoding():
-    known = fertility.pieces()
-    text = "These are some words, with numbers 123 and ümlauts."
-    assert known.tokens(known.words(text)).tolist() == known.model.encode(text)
+def prose(rng, n):
+    words = "the of and to in is that for it was on are as with his they at be this from have or by one had not but what all were when we there can".split()
+    return " ".join(rng.choice(words) if rng.random() < 0.6 else "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(3, 8))) for _ in range(n)) + "."
+
+
+def test_fertility_verdict_against_brute_force(spark):
+    """Bands and verdicts computed again from the measures; planted junk goes, prose stays."""
+    rng = random.Random(5)
+    rows = [(i, prose(rng, rng.choice((60, 70, 120, 130))), ("en", "xx", None)[i % 3]) for i in range(270)]
+    noise = lambda n: " ".join("".join(rng.choice("qxzjkvwQXZ0123456789#%&") for _ in range(rng.randint(3, 9))) for _ in range(n))
+    junk = [(1000 + i, noise(70), "en") for i in range(5)] + [(1005 + i, prose(rng, 70).replace("e", "Ã©").replace("a", "â€™"), "en") for i in range(5)]
+    rows += junk + [(2000, None, "en"), (2001, "", None), (2002, "few words", "en"), (1, rows[1][1], "xx")]
+    docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, lang string, band int")
+    got = fertility.quality(spark, docs).collect()
+    assert len(got) == len(rows)
+    measured = [fertility.measure(t, fertility.vocabularies()) | {"doc_id": i, "lang": lang} for i, t, lang in rows]
+    for m in measured:
+        m["size"] = int(math.log2(max(1, m["n_tokens"])))
+
+    def quartiles(values):
+        values = sorted(values)
+        return [values[math.ceil(p * len(values)) - 1] for p in (0.25, 0.5, 0.75)]
+
+    def band(m):
+        for name, columns in fertility.GROUPS:
+            same = [x for x in measured if not x["base_failed"] and all(x[c] is not None and x[c] == m[c] for c in columns)]
+            if len(same) >= fertility.MIN_GROUP:
+                out = {}
+                for k, floor in fertility.FLOORS.items():
+                    a, b, c = quartiles([x[k] for x in same])
+                    s = max((c - a) / 1.349, floor) * fertility.WIDTH
+                    out[k] = (b - s, b + s)
+                return name, out
+        return "fixed", None
+
+    by_id = {}
+    for r in got:
+        by_id.setdefault(r["doc_id"], []).append(r)
+    for m in measured:
+        name, want = band(m)
+        inside = all(want[k][0] <= m[k] <= want[k][1] for k in ("chars_per_token", "byte_chars_per_token")) and m["byte_share"] <= want["byte_share"][1] and m["token_entropy"] >= want["token_entropy"][0] if want else None
+        for r in by_id[m["doc_id"]]:
+            assert r["n_tokens"] == m["n_tokens"] and r["band"] == name
+            assert r["kept"] == (not m["base_failed"] and inside is not False)
+    assert not any(r["kept"] for i, *_ in junk for r in by_id[i])
+    assert sum(by_id[i][0]["kept"] for i in range(270)) >= 262
+    assert {r["band"] for r in got} >= {"language, length", "script, length"}
+
+
+def test_fertility_encodes_whole_texts():
+    known = fertility.vocabularies()
+    text = "Some words,\n\nwith numbers 123 and  ümlauts.\n"
+    m = fertility.measure(text, known)
+    ids = known.pieces.encode(text)
+    assert m["n_tokens"] == len(ids) and m["byte_share"] == sum(map(known.pieces.is_byte, ids)) / len(ids) > 0
+    assert m["byte_chars_per_token"] == len(text) / len(known.bytes.encode_ordinary(text))
 
 
 def test_licenses(spark):
