@@ -41,7 +41,7 @@ FIELDS_PER_BATCH, MESSAGES_KEPT, SIMPLE_GROUP_COLUMNS, UPLOAD_BYTES = 40, 40, 15
 TABLE_ROWS, TABLE_COLUMNS, DIRECT_FORMATS = 200, 30, 4
 NUMERALS = "一二三四五六七八九十"
 # fixed values: direct run attributes counted as formatting
-RUN_FORMATS = ["rFonts", "b", "i", "u", "strike", "color", "sz", "szCs", "highlight", "shd", "spacing"]
+RUN_FORMATS = ["rFonts", "color", "sz", "szCs", "b", "i", "u", "highlight", "shd", "strike", "vanish"]
 # fixed values: suffixes of sub-fields, of attendance, of score bands
 ATTENDANCE = ["应到", "实到", "缺考", "缓考", "作弊", "取消考试资格"]
 BANDS = ["<60", "60-69", "70-79", "80-89", "90-100"]
@@ -56,4 +56,14 @@ CATEGORIES = [
 OPTIONAL_WORDS = ["签字", "参与人", "备注", "说明", "建议", "改进"]
 # fixed values: marks of a ticked box
 TICK = "√"
-CHECK_VALUES = ["√", "✓", "是", "否"]
+CHECK_VALUES = ["√", "✓", "☑", "是", "合格", "有"]
+# fixed values: texts in an old report that are no value
+OLD_PLACEHOLDERS = ["%", "…", "……", "xxx", "yyy", "yyyy", "请填写"]
+# fixed values: option words beside tick boxes that filling knows
+FILL_OPTION_WORDS = [
+    "选修", "必修", "开卷", "闭卷", "半开卷", "是", "否",
+    "试题库", "试卷库", "教师组题", "本人阅卷", "同行阅卷",
+    "集体阅卷", "机器阅卷", "其他",
+]
+# fixed values: a cell that spans so many grid columns is a title to the tick boxes under it
+TITLE_SPAN = 5

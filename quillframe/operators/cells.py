@@ -76,10 +76,10 @@ def classified(cells: DataFrame) -> DataFrame:
 
 
 def is_meaningful_value(x: Column) -> Column:
-    """PRD11: not blank, no placeholder, no short text that ends in a colon, not labels alone."""
+    """PRD11: not blank, no placeholder of old reports, no short text that ends in a colon, not labels alone."""
     lines = F.filter(F.transform(F.split(x, "\n"), T.strip), lambda y: y != "")
     labels = F.forall(lines, lambda y: y.rlike("[：:]$"))
-    return (T.strip(x) != "") & ~is_placeholder(T.strip(x)) & ~((F.length(T.strip(x)) <= 20) & T.strip(x).rlike("[：:]$")) & ~labels
+    return (T.strip(x) != "") & ~T.strip(x).isin(V.OLD_PLACEHOLDERS) & ~((F.length(T.strip(x)) <= 20) & T.strip(x).rlike("[：:]$")) & ~labels
 
 
 def is_blank_run(x: Column) -> Column:
@@ -111,7 +111,8 @@ def row_roles(c: DataFrame) -> DataFrame:
     )
     one = F.col("n_cells") == 1
     only = F.get(F.col("texts"), F.lit(0))["x"]
-    first_line = T.strip(F.regexp_extract(only, r"^([^\n：:]*)", 1))
+    line = T.strip(F.substring_index(F.replace(only, F.lit("\n"), F.lit("|")), "|", 1))
+    first_line = T.strip(F.when(F.contains(line, F.lit("：")), F.substring_index(line, "：", 1)).otherwise(F.substring_index(line, ":", 1)))
     n = F.col("n_cells")
     agg = agg.select(
         *ROW,

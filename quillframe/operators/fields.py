@@ -142,13 +142,13 @@ def placeholder_fields(c: DataFrame, rows: DataFrame, earlier: DataFrame) -> Dat
     )
 
 
-def checkbox_groups(c: DataFrame) -> DataFrame:
-    """FLD5: groups of options followed by a blank; a text that is no option starts the next group."""
+def checkbox_groups(c: DataFrame, words: list[str] = V.OPTION_WORDS) -> DataFrame:
+    """FLD5: groups of options followed by a blank; a text that is no option starts the next group. c has ``is_option`` by ``words``."""
     w = W.partitionBy(*ROW).orderBy("c_unique")
     s = c.withColumns({"next": F.lead("x").over(w), "starts": ((F.col("x") != "") & ~F.col("is_option") & ~F.col("continues")).cast("int")})
     s = s.filter("next IS NOT NULL").withColumn("grp", F.sum("starts").over(w.rowsBetween(W.unboundedPreceding, 0)))
     option = F.col("is_option") & (F.col("next") == "")
-    name = F.when(T.squeeze("x").isin(V.OPTION_WORDS), T.squeeze("x")).otherwise(F.col("x"))
+    name = F.when(T.squeeze("x").isin(words), T.squeeze("x")).otherwise(F.col("x"))
     grouped = s.groupBy(*ROW, "grp").agg(F.max(F.when(F.col("starts") == 1, F.col("x"))).alias("label"), F.array_sort(F.collect_list(F.when(option, F.struct("c_unique", name.alias("o"))))).alias("options"))
     return grouped.filter(F.size("options") > 0)
 

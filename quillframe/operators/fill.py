@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from quillframe.functions import text as T
 from quillframe.functions import values as V
 from quillframe.operators import relational as R
+from quillframe.operators.cells import continues
 from quillframe.operators.fields import checkbox_groups
 from quillframe.sources import ooxml
 from quillframe.sources.ooxml import q
@@ -46,11 +47,20 @@ def label_edits(fields: DataFrame, values: DataFrame) -> DataFrame:
     )
 
 
+def fill_groups(classified_cells: DataFrame, rows: DataFrame) -> DataFrame:
+    """FLD5b: groups of tick boxes as filling knows them: its own option words, merge rule and title, the first wide text up to two rows above."""
+    x = F.col("x")
+    option = (x != "") & (x.isin(V.FILL_OPTION_WORDS) | T.squeeze(x).isin(V.FILL_OPTION_WORDS))
+    c = classified_cells.withColumns({"is_option": option, "continues": continues(F.col("vmerge_raw"), "fill")})
+    wide = c.filter((F.col("grid_span") >= V.TITLE_SPAN) & (x != "")).groupBy("doc_id", "t", "r").agg(F.min_by("x", "c_unique").alias("wide"))
+    w = W.partitionBy("doc_id", "t").orderBy("r")
+    above = rows.select("doc_id", "t", "r").join(wide, ["doc_id", "t", "r"], "left").withColumn("title", F.coalesce(F.lag("wide", 1).over(w), F.lag("wide", 2).over(w)))
+    return checkbox_groups(c, V.FILL_OPTION_WORDS).join(above.select("doc_id", "t", "r", "title"), ["doc_id", "t", "r"], "left")
+
+
 def checkbox_edits(classified_cells: DataFrame, rows: DataFrame, values: DataFrame) -> DataFrame:
     """FIL5b, FIL6, JN17: a tick in the blank beside each chosen option, the value found by label, title or an option itself, in that order."""
-    w = W.partitionBy("doc_id", "t").orderBy("r")
-    above = rows.withColumn("title", F.coalesce(F.lag("one_cell_text", 1).over(w), F.lag("one_cell_text", 2).over(w))).select("doc_id", "t", "r", "title")
-    g = checkbox_groups(classified_cells).join(above, ["doc_id", "t", "r"], "left")
+    g = fill_groups(classified_cells, rows)
     bare = lambda c: F.translate(c, "\n 　", "")
     v = values.select("doc_id", F.col("label").alias("key"), F.col("value").alias("chosen"))
     pair = g.join(v, "doc_id")

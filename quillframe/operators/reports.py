@@ -13,7 +13,7 @@ from quillframe.operators.cells import is_meaningful_value
 def value_by_mode(text: Column, label: Column, mode: Column) -> Column:
     """CL2: append, set and replace: what follows the label; check: the text if it is a mark."""
     rest = T.strip_label(text, label)
-    usable = F.when((rest != "") & (rest != label) & ~rest.isin(V.PLACEHOLDER_TEXTS), rest)
+    usable = F.when((rest != "") & (rest != label) & ~rest.isin(V.OLD_PLACEHOLDERS), rest)
     return F.when(mode == "append", rest).when(mode.isin("set", "replace"), usable).when((mode == "check") & text.isin(V.CHECK_VALUES), text)
 
 

@@ -47,7 +47,7 @@ def issues(nodes: DataFrame, cells: DataFrame, runs: DataFrame, documents: DataF
     last = nodes.filter("parent_tag = 'body'").groupBy("doc_id").agg(F.max(F.when(F.col("tag") == "sectPr", F.col("ord"))).alias("at"), F.max("ord").alias("end"))
     found.append(_issue(last.filter("at < end"), "section_last", "error", F.lit("section properties are not last")))
     # VAL8: direct formats a run
-    many = runs.withColumn("n", F.size(F.array_intersect("rpr_tags", F.lit(V.RUN_FORMATS)))).filter(F.col("n") > V.DIRECT_FORMATS)
+    many = runs.withColumn("n", F.size(F.filter("rpr_tags", lambda x: x.isin(V.RUN_FORMATS)))).filter(F.col("n") > V.DIRECT_FORMATS)
     found.append(_issue(many, "direct_format", "warning", F.format_string("run %d: %d direct formats", "run", "n")))
     out = found[0]
     for more in found[1:]:

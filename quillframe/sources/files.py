@@ -124,3 +124,19 @@ def safe_path(path: str, roots: list[str]) -> str:
     if not any(clean.is_relative_to(r) for r in roots):
         raise ValueError(f"outside the allowed folders: {path}")
     return str(clean)
+
+
+def unreadable(files: DataFrame) -> DataFrame:
+    """D10: path and error of the documents that the relations leave out, as they can not be opened."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for path, content in zip(frame["path"], frame["content"]):
+                try:
+                    ooxml.Docx(bytes(content))
+                except Exception as e:  # noqa: BLE001  any failure is a row
+                    out.append((path, type(e).__name__, str(e)))
+            yield pd.DataFrame(out, columns=["path", "error", "detail"])
+
+    return files.filter(F.col("ext").isin(".docx", ".doc")).select("path", "content").mapInPandas(run, "path string, error string, detail string")
