@@ -48,13 +48,14 @@ def label_edits(fields: DataFrame, values: DataFrame) -> DataFrame:
 
 
 def fill_groups(classified_cells: DataFrame, rows: DataFrame) -> DataFrame:
-    """FLD5b: groups of tick boxes as filling knows them: its own option words, merge rule and title, the first wide text up to two rows above."""
+    """FLD5b: groups of tick boxes as filling knows them: its own option words, merge rule and title. That is the first
+    text over TITLE_SPAN columns or more up to two rows above or, in narrower tables, over a whole row."""
     x = F.col("x")
     option = (x != "") & (x.isin(V.FILL_OPTION_WORDS) | T.squeeze(x).isin(V.FILL_OPTION_WORDS))
     c = classified_cells.withColumns({"is_option": option, "continues": continues(F.col("vmerge_raw"), "fill")})
     wide = c.filter((F.col("grid_span") >= V.TITLE_SPAN) & (x != "")).groupBy("doc_id", "t", "r").agg(F.min_by("x", "c_unique").alias("wide"))
     w = W.partitionBy("doc_id", "t").orderBy("r")
-    above = rows.select("doc_id", "t", "r").join(wide, ["doc_id", "t", "r"], "left").withColumn("title", F.coalesce(F.lag("wide", 1).over(w), F.lag("wide", 2).over(w)))
+    above = rows.select("doc_id", "t", "r", "one_cell_text").join(wide, ["doc_id", "t", "r"], "left").withColumn("wide", F.coalesce("wide", "one_cell_text")).withColumn("title", F.coalesce(F.lag("wide", 1).over(w), F.lag("wide", 2).over(w)))
     return checkbox_groups(c, V.FILL_OPTION_WORDS).join(above.select("doc_id", "t", "r", "title"), ["doc_id", "t", "r"], "left")
 
 
