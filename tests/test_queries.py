@@ -6,6 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
+from quillframe.plans import cell_queries as C
 from quillframe.plans import queries as Q
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -39,10 +40,17 @@ def test_query(spark, con, small, name):
     assert rows(got) == rows(want)
 
 
+@pytest.mark.parametrize("name", sorted(C.ORACLES))
+def test_cell_query(spark, con, small, name):
+    got, want = C.QUERIES[name](spark, small).toPandas(), con.execute(C.ORACLES[name]).df()
+    assert sorted(got.columns) == sorted(want.columns)
+    assert len(got) and rows(got) == rows(want)
+
+
 def test_entry(spark):
     import __spark_entry__ as E
 
-    assert set(Q.QUERIES) <= set(E.queries()) and set(E.oracle_sql()) <= set(E.queries())
+    assert set(Q.QUERIES) | set(C.QUERIES) <= set(E.queries()) and set(E.oracle_sql()) <= set(E.queries())
     assert E.entry(spark).count() > 0
 
 
@@ -58,7 +66,7 @@ def test_entry_without_the_llm_subpackage(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as E; print(len(E.queries()), [q for q in E.queries() if q.startswith('op')])"
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
-    assert out.stdout.strip() == f"{len(Q.QUERIES)} []", out.stderr
+    assert out.stdout.strip() == f"{len(Q.QUERIES) + len(C.QUERIES)} []", out.stderr
 
 
 def test_merge_does_not_depend_on_order(spark):

@@ -132,3 +132,29 @@ def test_message_window(spark):
     m = spark.createDataFrame(rows, "thread_id string, seq int, type string, tool_call_ids array<string>, tool_call_id string")
     assert {r["seq"] for r in state.windowed_messages(m).collect()} == set(range(6, 45))
     assert {r["seq"] for r in state.windowed_messages(m, 45).collect()} == set(range(1, 46))
+
+
+def test_error_categories():
+    from quillframe.functions import errors
+
+    class Own(ConnectionResetError):
+        pass
+
+    assert errors.category_of(Own)[0] == "infra" and errors.category_of(UnicodeDecodeError)[0] == "input"
+    assert errors.category_of(FileNotFoundError) == ("input", "文件不存在，请确认路径") and errors.category_of(RuntimeError)[0] == "unknown"
+
+
+def test_values_of_old_reports_and_run_formats(spark):
+    """What counts as a value of an old report, as a tick, as a direct format."""
+    from pyspark.sql import functions as F
+
+    from quillframe.functions import values as V
+    from quillframe.operators import cells, reports
+
+    texts = ["xxx", "请填写", "%", "—", "请在课前提交", "签名：", "实现途径:\n评价方法:", "数学"]
+    got = spark.createDataFrame([(x,) for x in texts], "x string").select("x", cells.is_meaningful_value(F.col("x")).alias("m")).collect()
+    assert {r["x"] for r in got if r["m"]} == {"—", "请在课前提交", "数学"}
+    marks = spark.createDataFrame([(x,) for x in ["√", "✓", "☑", "是", "合格", "有", "否"]], "x string")
+    got = marks.select("x", reports.value_by_mode(F.col("x"), F.lit("a"), F.lit("check")).alias("v")).collect()
+    assert [r["v"] for r in got] == ["√", "✓", "☑", "是", "合格", "有", None]
+    assert "vanish" in V.RUN_FORMATS and "spacing" not in V.RUN_FORMATS and "优秀" not in V.FILL_OPTION_WORDS
