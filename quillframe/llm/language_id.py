@@ -6,8 +6,8 @@ logistic regression with a sparse weight vector per language, trained by follow-
 (proximal, per-coordinate rates) with L1 and L2 penalties. Its scores are calibrated by one temperature,
 fitted on labelled rows that training did not see.
 
-Training takes at most about ``per_language`` labelled rows a language and ``MAX_ROWS`` rows in all, chosen by a
-hash of doc_id; rows whose crc32(doc_id) mod 3 is 1 are held out and never trained on or calibrated with. Only the
+Training takes at most ``per_language`` labelled rows a language and ``MAX_ROWS`` rows in all, chosen by a
+hash of doc_id and text; rows whose crc32(doc_id) mod 3 is 1 are held out and never trained on or calibrated with. Only the
 sample's counts come to the driver. Prediction is one pass over whole texts with no shuffle.
 """
 
@@ -16,14 +16,17 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import mix64, prepare
+from quillframe.llm.common import boxed, mix64, prepare, unboxed
 
 BITS = 15
 ORDERS = (1, 2, 3)
 PER_LANGUAGE = 400
 MAX_ROWS = 4000
+#: Largest model that is broadcast: 2**15 columns of 1,000 languages.
+MOST_BYTES = 1 << 28
 _KIND: np.ndarray | None = None
 
 
@@ -141,17 +144,24 @@ def held_out():
 
 
 def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, max_rows: int = MAX_ROWS) -> list[tuple[str, np.ndarray, np.ndarray]]:
-    """Labelled, not held-out rows as counts: each language's rows thinned to the bound by a hash of doc_id."""
+    """Labelled, not held-out rows as counts, at most ``max_rows``, whatever the number of rows and of languages.
+
+    Of each language the first rows by a hash of doc_id and text digest, at most ``per_language`` and an equal share of ``max_rows``
+    (at least one a language; of more than ``max_rows`` languages those with most rows, ties by name). Rows are thinned by the language's
+    share before they are ranked, so no language meets in one task. The choice does not depend on partitions.
+    """
     usable = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_rows // 4).collect()}
-    if not sizes:
+    sizes = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_rows)
+    n_languages = sizes.count()
+    if not n_languages:
         return []
-    each = min(per_language, max_rows // len(sizes))
-    place = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("sample")), 1) / F.lit(float(2**63))
-    share = F.lit(1.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, each / n))).otherwise(share)
-    picked = usable.filter(place < share).select("lang", "doc_id", "text")
+    each = max(1, min(per_language, max_rows // n_languages))
+    place = F.shiftrightunsigned(F.xxhash64("doc_id", F.xxhash64("text"), F.lit("sample")), 1)
+    # twice the share and some more: a binomial count that falls short of ``each`` is as good as impossible
+    share = F.least(F.lit(1.0), (2.0 * each + 30) / F.col("n"))
+    chosen = usable.select("lang", "doc_id", "text", place.alias("place")).join(F.broadcast(sizes), "lang").filter(F.col("place") / F.lit(float(2**63)) < share)
+    first = Window.partitionBy("lang").orderBy("place", "doc_id", F.xxhash64("text"))
+    picked = chosen.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= each).select("lang", "doc_id", "text")
 
     def run(batches):
         for batch in batches:
@@ -159,10 +169,10 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, max_rows: int = MA
             arrays = [pa.array([r[i].astype(np.int32) for r in rows], pa.list_(pa.int32())) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=["lang", "doc_id", "at", "count"])
 
-    found = picked.mapInArrow(run, "lang string, doc_id long, at array<int>, count array<int>").limit(2 * max_rows).toArrow()
+    found = picked.mapInArrow(run, "lang string, doc_id long, at array<int>, count array<int>").toArrow()
     rows = [(lang, i, np.array(a, np.int64), np.array(c, np.int64)) for lang, i, a, c in zip(*(found.column(n).to_pylist() for n in ("lang", "doc_id", "at", "count")))]
     rows = [r for r in rows if len(r[2])]
-    rows.sort(key=lambda r: (int(mix64(np.array([r[1]], np.int64).view(np.uint64))[0]), r[1], r[0]))
+    rows.sort(key=lambda r: (int(mix64(np.array([r[1]], np.int64).view(np.uint64))[0]), r[1], r[0], r[2].tobytes(), r[3].tobytes()))
     return [(lang, a, c) for lang, _, a, c in rows]
 
 
@@ -171,21 +181,20 @@ def fit(spark: SparkSession, docs: DataFrame, per_language: int = PER_LANGUAGE)
     return train(sample(docs, per_language))
 
 
-def predictions(spark: SparkSession, docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """The columns of ``keep`` with lang_pred and score; doc_id and text alone are read if keep is None."""
+def predictions(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
+    """row (the columns of docs as a struct), lang_pred, score."""
     prepare(spark)
+    if model.weights.nbytes > MOST_BYTES:
+        raise ValueError(f"a model of {model.weights.nbytes} bytes is too large to broadcast; lower bits or the number of languages")
     shared = spark.sparkContext.broadcast(model)
-    names = keep or ["doc_id"]
-    chosen = docs.select(*names, F.col("text").alias("__text")) if keep is None else docs.select(*[F.col(f"`{c}`") for c in names])
-    text_at = len(names) if keep is None else names.index("text")
-    schema = docs.select(*[F.col(f"`{c}`") for c in names]).schema.add("__lang_pred", "string").add("__score", "double")
+    chosen = boxed(docs).select("row", "row.text")
+    schema = chosen.select("row").schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches):
         model = shared.value
         for batch in batches:
-            got = [model.predict(t) for t in batch.column(text_at).to_pylist()]
-            columns = [batch.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[f.name for f in schema])
+            got = [model.predict(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=schema.names)
 
     return chosen.mapInArrow(run, schema)
 
@@ -195,10 +204,11 @@ def identify(spark: SparkSession, docs: DataFrame, per_language: int = PER_LANGU
 
     Null text, and text without a letter, is ``und`` with score 0. A null doc_id is not held out and never trains.
     Rows without lang are predicted like others; if no row is labelled, all are ``und``. Repeated rows get equal
-    results. An empty table gives no rows. Other columns are not read.
+    results. An empty table gives no rows. Other columns are not read. Very long texts are read whole, one at a time. Equal scores go to
+    the least label. A model over MOST_BYTES is refused.
     """
-    out = predictions(spark, docs, fit(spark, docs, per_language))
-    return out.select("doc_id", held_out().alias("held_out"), F.col("__lang_pred").alias("lang_pred"), F.col("__score").alias("score"))
+    out = predictions(spark, docs.select("doc_id", "text"), fit(spark, docs, per_language))
+    return out.select("row.doc_id", "lang_pred", "score").select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
 #: A document goes whose calibrated score is under this.
@@ -206,13 +216,13 @@ LEAST_SCORE = 0.5
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """The columns and rows of ``docs``, but for those predicted ``und`` or with a score under ``least``.
+    """The columns, whatever their names, and rows of ``docs``, but for those predicted ``und`` or with a score under ``least``.
 
+    Null and empty texts have no letter and go. Repeated rows are judged alike; an empty table gives no rows; very long texts are read whole.
     If no row can be learnt from (no lang at all, or only on held-out rows), languages are unknown, and all documents with a letter stay.
     """
-    names = docs.columns
     model = fit(spark, docs)
     if not model.labels:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    out = predictions(spark, docs, model, names)
-    return out.filter((F.col("__lang_pred") != "und") & (F.col("__score") >= least)).select(*[F.col(f"`{c}`") for c in names])
+    out = predictions(spark, docs, model)
+    return unboxed(out.filter((F.col("lang_pred") != "und") & (F.col("score") >= least)), docs.columns)

@@ -26,34 +26,48 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillframe.llm.byte_tokens import byte_tokens
-from quillframe.llm.common import prepare, shared_folder
+from quillframe.llm.common import delete_at_end, prepare, shared_folder
 
 # fixed values of the public format
 SEEK_MAGIC, TABLE_FRAME, INDEX_FRAME = 0x8F92EAB1, 0x184D2A5E, 0x184D2A5D
 END_ID = 2
 FRAME_BYTES = 128 << 10
 LEVEL = 3
+PIECE_BYTES = 1 << 30
+#: Text that goes to a file at about, where the session's shuffle partitions are fewer than that makes.
+FILE_BYTES = 1 << 28
 ENTRY = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("ids", "<u8"), ("frame", "<u4")])
 
 
 class Writer:
-    """Writes documents in the order they come. Memory: one frame, and 21 bytes a document."""
+    """Writes documents in the order they come. Memory: one frame, and 21 bytes a document.
 
-    def __init__(self, sink, frame_bytes: int = FRAME_BYTES):
-        self.sink, self.frame_bytes = sink, frame_bytes
+    A frame holds whole documents up to ``frame_bytes``, or one longer document; one of over ``piece_bytes`` goes on in further frames,
+    as the format counts a frame's bytes in 32 bits.
+    """
+
+    def __init__(self, sink, frame_bytes: int = FRAME_BYTES, piece_bytes: int = PIECE_BYTES):
+        self.sink, self.frame_bytes, self.piece_bytes = sink, frame_bytes, piece_bytes
         self.pack = zstandard.ZstdCompressor(level=LEVEL)
         self.held: list[bytes] = []
         self.n_held = self.n_ids = 0
         self.frames: list[tuple[int, int, int]] = []
-        self.index: list[tuple] = []
+        self.index = np.zeros(1024, ENTRY)
+        self.n_docs = 0
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         data = ids.astype("<u4", copy=False).tobytes()
         if self.held and self.n_held + len(data) > self.frame_bytes:
             self._frame()
-        self.index.append((doc_id or 0, doc_id is None, len(ids), len(self.frames)))
-        self.held.append(data)
-        self.n_held += len(data)
+        if self.n_docs == len(self.index):
+            self.index = np.concatenate([self.index, np.zeros_like(self.index)])
+        self.index[self.n_docs] = (doc_id or 0, doc_id is None, len(ids), len(self.frames))
+        self.n_docs += 1
+        for at in range(0, max(1, len(data)), self.piece_bytes):
+            if at:
+                self._frame()
+            self.held.append(data[at : at + self.piece_bytes])
+            self.n_held += len(self.held[-1])
         self.n_ids += len(ids)
 
     def _frame(self) -> None:
@@ -66,7 +80,7 @@ class Writer:
     def close(self) -> None:
         if self.held:
             self._frame()
-        index = self.pack.compress(np.array(self.index, dtype=ENTRY).tobytes())
+        index = self.pack.compress(self.index[: self.n_docs].tobytes())
         self.sink.write(struct.pack("<II", INDEX_FRAME, len(index)) + index)
         table = b"".join(struct.pack("<III", *f) for f in self.frames)
         table += struct.pack("<IBI", len(self.frames), 0x80, SEEK_MAGIC)
@@ -95,6 +109,7 @@ class Reader:
         self.index = np.frombuffer(index, ENTRY)
         total = np.cumsum(self.index["ids"], dtype=np.int64)
         self.before = total - self.index["ids"].astype(np.int64)
+        self.first = np.concatenate([[0], np.cumsum(self.frames[:, 1] // 4)])
 
     def _at(self, at: int, n: int) -> bytes:
         self.source.seek(at)
@@ -110,14 +125,18 @@ class Reader:
 
     def documents(self, rows: Iterable[int] | None = None) -> Iterator[tuple[int | None, int, np.ndarray]]:
         """doc_id, ids before it in the file, its ids; of all documents or those index rows."""
-        held, ids, first = -1, None, 0
+        held, ids = -1, None
         for row in range(len(self.index)) if rows is None else rows:
             doc_id, null, n, frame = self.index[row]
             if frame != held:
                 held, ids = int(frame), self.frame(int(frame))
-                first = int(self.before[np.searchsorted(self.index["frame"], frame)])
-            at = int(self.before[row]) - first
-            yield (None if null else int(doc_id)), int(self.before[row]), ids[at : at + int(n)]
+            at = int(self.before[row] - self.first[held])
+            found = ids[at : at + int(n)]
+            while len(found) < n:
+                held += 1
+                ids = self.frame(held)
+                found = np.concatenate([found, ids[: int(n) - len(found)]])
+            yield (None if null else int(doc_id)), int(self.before[row]), found
 
     def find(self, doc_ids: Iterable[int]) -> Iterator[tuple[int | None, int, np.ndarray]]:
         """The named documents; only their frames are decompressed."""
@@ -140,6 +159,8 @@ def write(spark: SparkSession, docs: DataFrame, folder: str | None = None, path:
     """
     prepare(spark)
     uri = (folder or shared_folder(spark)).rstrip("/") + f"/token-files-{uuid.uuid4().hex}"
+    if folder is None:
+        delete_at_end(spark, uri)
     if uri.startswith("/"):
         uri = "file://" + uri
     system, at = open_sink(uri)
@@ -162,12 +183,16 @@ def write(spark: SparkSession, docs: DataFrame, folder: str | None = None, path:
         if writer is not None:
             writer.close()
             system.move(f"{name}.{context.taskAttemptId()}", name)
-            row = [context.partitionId(), f"{uri}/part-{context.partitionId():06d}.zst", writer.n_ids, len(writer.index)]
+            row = [context.partitionId(), f"{uri}/part-{context.partitionId():06d}.zst", writer.n_ids, writer.n_docs]
             yield pa.RecordBatch.from_pydict({k: [v] for k, v in zip(("part", "file", "n_ids", "n_docs"), row)})
 
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.select("doc_id", "text").repartitionByRange(n, F.col("doc_id").asc_nulls_first())
-    files = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first()).mapInArrow(run, "part long, file string, n_ids long, n_docs long").collect()
+    size = int(docs.select("text")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    # the plan's estimate of the size; unknown sizes are given as enormous ones
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // FILE_BYTES if size < 1 << 60 else 0)
+    # rows of one doc_id are in the order of their texts, so a hot id (null, say) falls into several ranges and every run gives the same files
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc(), F.col("text").asc_nulls_first()]
+    dealt = docs.select("doc_id", "text").repartitionByRange(n, *order[:2])
+    files = dealt.sortWithinPartitions(*order).mapInArrow(run, "part long, file string, n_ids long, n_docs long").collect()
     rows, before = [], 0
     for f in sorted(files, key=lambda f: f["part"]):
         rows.append((f["file"], before, f["n_ids"], f["n_docs"]))
@@ -204,7 +229,7 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
 def write_and_read(spark: SparkSession, docs: DataFrame, path: str | None = None) -> DataFrame:
     """Operator 7: encode, write in ascending doc_id, read back.
 
-    Null text is empty (its end id alone). Null doc_ids come first. Rows of one doc_id stand beside each other
-    in no fixed order. An empty table writes no file and gives no rows. Other columns are not read.
+    Null text is empty (its end id alone). Null doc_ids come first. Rows of one doc_id stand in the order
+    of a digest of their texts, equal rows side by side. An empty table writes no file and gives no rows. Other columns are not read.
     """
     return read(write(spark, docs, path=path))

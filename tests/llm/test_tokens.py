@@ -121,9 +121,11 @@ class Memory(io.BytesIO):
         pass
 
 
-def test_file_format_and_checksum():
+@pytest.mark.parametrize("piece", [1 << 30, 44])
+def test_file_format_and_checksum(piece):
+    """Documents longer than a piece go on in further frames."""
     sink = Memory()
-    w = token_files.Writer(sink, frame_bytes=64)
+    w = token_files.Writer(sink, frame_bytes=64, piece_bytes=piece)
     docs = {i: np.arange(i, i + 10 * (i % 4), dtype=np.uint32) for i in range(9)}
     for i, ids in docs.items():
         w.add(i, ids)
@@ -132,6 +134,7 @@ def test_file_format_and_checksum():
     assert plain == b"".join(x.astype("<u4").tobytes() for x in docs.values())
     reader = token_files.Reader(sink)
     assert {d: ids.tolist() for d, _, ids in reader.documents()} == {d: x.tolist() for d, x in docs.items()}
+    assert [ids.tolist() for _, _, ids in reader.find([7, 3])] == [docs[3].tolist(), docs[7].tolist()]
     reader.frames = reader.frames.copy()
     reader.frames[0, 2] ^= 1
     with pytest.raises(ValueError, match="checksum"):
@@ -171,3 +174,15 @@ def test_bpe_rows(spark):
     rows = {r["doc_id"]: r for r in word_bpe.encode_documents(spark, docs).collect()}
     assert all(rows[i]["n_tokens"] == len(word_bpe.encode(t)) for i, t in enumerate(TEXTS))
     assert word_bpe.encode_documents(spark, docs.limit(0)).count() == 0
+
+
+def test_ties_null_ids_and_repeated_rows(spark):
+    """Rows of one doc_id stand in a fixed order, whatever the partitions; repeated rows count each."""
+    rows = [(1, "b"), (1, "a"), (None, "x y"), (1, "a"), (None, None), (2, "")]
+    schema = "doc_id long, text string, start long, __key string"
+    one, two = (spark.createDataFrame([(*r, 0, "") for r in x], schema).repartition(n) for x, n in ((rows, 1), (rows[::-1], 3)))
+    got = [sorted(map(tuple, token_files.write_and_read(spark, d).collect()), key=repr) for d in (one, two)]
+    assert got[0] == got[1] and len(got[0]) == 6 and sorted(g[1] for g in got[0])[0] == 0
+    for operator in (packing.pack, word_bpe.encode_documents):
+        out = [sorted(repr(r["doc_id"]) for r in operator(spark, d).collect()) for d in (one, two)]
+        assert out[0] == out[1] == sorted(repr(r[0]) for r in rows)
