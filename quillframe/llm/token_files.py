@@ -186,7 +186,7 @@ def write(spark: SparkSession, docs: DataFrame, folder: str | None = None, path:
             row = [context.partitionId(), f"{uri}/part-{context.partitionId():06d}.zst", writer.n_ids, writer.n_docs]
             yield pa.RecordBatch.from_pydict({k: [v] for k, v in zip(("part", "file", "n_ids", "n_docs"), row)})
 
-    size = int(docs.select("text")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(docs.select("text")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     # the plan's estimate of the size; unknown sizes are given as enormous ones
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // FILE_BYTES if size < 1 << 60 else 0)
     # rows of one doc_id are in the order of their texts, so a hot id (null, say) falls into several ranges and every run gives the same files
