@@ -1,7 +1,7 @@
 """Token ids of the public byte-level vocabulary, exactly as the tokenizers library gives them.
 
 A text without the vocabulary's special token takes the same merges and the same split pattern
-through tiktoken, whose ids agree on every code point (tests/llm/test_byte_tokens.py) at four
+through tiktoken, whose ids agree on every code point (tests/llm/test_tokens.py) at four
 times the speed. A text that holds a special token's string goes to the tokenizers library.
 """
 

@@ -8,7 +8,7 @@ merging and remembered. Only words with an incompatible pair are merged exactly,
 
 Normalisation (canonical composition, lower case) and the split into words follow the vocabulary file's own
 description. Texts with letters outside the blocks on which Python's character tables agree with the
-tokenizers library's (tests/llm/test_word_bpe.py) are normalised and split by that library.
+tokenizers library's (tests/llm/test_tokens.py) are normalised and split by that library.
 """
 
 from __future__ import annotations

@@ -225,3 +225,35 @@ def test_licenses(spark):
     assert {r[0]: r[1:] for r in con.execute(licenses.oracle_sql()).fetchall()} == {i: (r["text_digest"], r["license_id"]) for i, r in got.items()}
     assert licenses.scan(spark, docs.limit(0)).count() == 0
     assert "BroadcastHashJoin" in licenses.scan(spark, docs)._jdf.queryExecution().toString()
+
+
+LICENCE_FILES = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "BSD": "BSD-3-Clause", "GFDL-1.3": "GFDL-1.3", "Artistic": "Artistic-1.0-Perl"}
+
+
+def test_whole_licences_planted_in_documents(spark):
+    """Full texts as published, shouted, rewrapped, under a holder's line and in British spelling; altered texts are none."""
+    from pathlib import Path
+
+    folder = Path("/usr/share/common-licenses")
+    found = {f: (folder / f).read_text(encoding="utf-8", errors="replace") for f in LICENCE_FILES if (folder / f).exists()}
+    if not found:
+        pytest.skip("no licence texts are installed here")
+    rows = []
+    for f, text in found.items():
+        plain = text.replace("Licence", "License")
+        forms = [text, plain.upper(), " ".join(text.split(" ")) + "\n\n", "Copyright © Jane Doe\n" + text, "Copyright <year> <holder>\n(c) 2011 Someone Else\n" + text, text.replace("license", "licence").replace('"', "“")]
+        rows += [(x, LICENCE_FILES[f]) for x in forms] + [(text[: len(text) // 2], None), (text + "\nand more", None)]
+    rows += [("Copyright Jane Doe\nnothing known", None), ("C 1234 is a note", None)]
+    docs = spark.createDataFrame([(i, t, "x", "y") for i, (t, _) in enumerate(rows)], "doc_id long, text string, license_digest string, license_id string")
+    got = {r["doc_id"]: (r["text_digest"], r["license_id"]) for r in licenses.scan(spark, docs).collect()}
+    assert [got[i][1] for i in range(len(rows))] == [w for _, w in rows]
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    assert {r[0]: tuple(r[1:]) for r in con.execute(licenses.oracle_sql()).fetchall()} == got
+
+
+def test_holder_lines(spark):
+    body = KNOWN[0][1]
+    lines = ["Copyright (c) Jane Doe", "Copyright © 2020 Jane Doe. All rights reserved.", "Copyright <year> <holder>", "Copyright [yyyy] [name]", "Portions copyright 1999 X", "(C) 1998 Y", "Copyright by Z"]
+    docs = spark.createDataFrame([(i, f"{x}\n\n{body}") for i, x in enumerate(lines)], "doc_id long, text string")
+    assert {r["license_id"] for r in licenses.scan(spark, docs).collect()} == {"MIT"}
