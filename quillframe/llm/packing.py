@@ -164,7 +164,8 @@ def pack(spark: SparkSession, docs: DataFrame, path: str | None = None, length:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Null text packs as empty (its end id alone). A null doc_id stays null. Repeated rows are packed
-    each. An empty table gives no rows. Other columns of ``docs`` are not read. Sequence ids carry the
+    each. An empty table gives no rows. A very long text is encoded whole; its full windows are sequences at once. A partition keeps at most
+    MAX_OPEN windows open; beyond that all open ones are settled, by cutting and not by the sum of squares (README has the shares). Other columns of ``docs`` are not read. Sequence ids carry the
     partition in their upper bits, so they are unique and not dense.
     """
     prepare(spark)

@@ -136,7 +136,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = WORDS) ->
     """Operator 4: doc_id, fingerprint (16 hex digits), component_id (the least doc_id of the component).
 
     Null and empty texts have fingerprint zero and link as such. Null doc_ids take part but name no component; a
-    component of nulls alone has a null id. Repeated rows get equal results. An empty table gives no rows. Other
+    component of nulls alone has a null id. Repeated rows get equal results. Very long texts are hashed whole, one at a time. An empty table gives no rows. Other
     columns are not read. Only counts come to the driver.
     """
     found = checkpointed(spark, fingerprints(spark, docs, words))

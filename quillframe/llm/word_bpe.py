@@ -214,7 +214,8 @@ FIELDS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 def encode_documents(spark: SparkSession, docs: DataFrame, path: str | None = None) -> DataFrame:
     """Operator 3: a row a row: doc_id, n_tokens, digests of the ids and of the decoded text.
 
-    Null and empty texts have no tokens. One pass, no shuffle; a worker keeps at most CACHE_WORDS words and
+    Null and empty texts have no tokens; a null doc_id stays null; repeated rows are encoded each; an empty table gives no rows. A very long
+    text is encoded whole, one at a time. One pass, no shuffle; a worker keeps at most CACHE_WORDS words and
     those of one batch of texts. Other columns are not read.
     """
     prepare(spark)
