@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillframe.session import broadcast_if_small
 from quillframe.functions import text as T
 from quillframe.functions import values as V
 from quillframe.operators import relational as R
@@ -41,10 +42,10 @@ def search_terms(spark, labels: DataFrame) -> DataFrame:
 def rule_extract(spark, texts: DataFrame, labels: DataFrame, key: str = "file_ord", text: str = "text") -> DataFrame:
     """EXT1: (key, label, value) of the labels that one of four rules finds in a text, first by (strategy, term, line, separator).
 
-    A form has tens of terms: the terms (a bounded list) are broadcast to the lines that contain one. The scan over lines
+    A form has tens of terms: their number is checked before they are broadcast to the lines that contain one. The scan over lines
     is a single pass; nothing but hits is shuffled.
     """
-    terms = F.broadcast(search_terms(spark, labels))
+    terms = broadcast_if_small(search_terms(spark, labels))
     hit = lines(texts, key, text).join(terms, F.contains(F.col("raw"), F.col("term")))
     quoted = F.regexp_replace("term", r"([\\.\[\]{}()*+?^$|\-/])", r"\\$1")
     s, raw = F.col("stripped"), F.col("raw")
@@ -72,7 +73,7 @@ def rule_extract(spark, texts: DataFrame, labels: DataFrame, key: str = "file_or
 def rule_prefill(spark, texts: DataFrame, fields: DataFrame, key: str = "file_ord") -> DataFrame:
     """JN1, EXT6: every field of every text with the rule's value at 0.75, else null at 0."""
     found = rule_extract(spark, texts, fields, key)
-    grid = texts.select(key).distinct().join(F.broadcast(fields.select("field_id", "label")), F.lit(True))
+    grid = texts.select(key).distinct().join(broadcast_if_small(fields.select("field_id", "label")), F.lit(True))
     out = grid.join(found, [key, "label"], "left")
     hit = F.col("value").isNotNull()
     return out.select(key, "field_id", "label", "value", F.when(hit, V.RULE_CONFIDENCE).otherwise(0.0).alias("confidence"), F.when(hit, V.RULE_SOURCE).otherwise("").alias("source"))

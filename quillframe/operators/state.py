@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillframe.session import broadcast_if_small
 from quillframe.functions import text as T
 from quillframe.functions import values as V
 from quillframe.operators import relational as R
@@ -39,7 +40,7 @@ def fold(writes: DataFrame, confirm_from: float = 1.0) -> DataFrame:
 def form_state(fields: DataFrame, folded: DataFrame) -> DataFrame:
     """STM1: every field (field_id, label, ord) of every session with its state; untouched ones are empty."""
     sessions = folded.select("session_id").distinct()
-    grid = sessions.join(F.broadcast(fields), F.lit(True))
+    grid = sessions.join(broadcast_if_small(fields), F.lit(True))
     return grid.join(folded, ["session_id", "field_id"], "left").withColumn("status", F.coalesce("status", F.lit("empty")))
 
 

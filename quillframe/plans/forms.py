@@ -32,7 +32,7 @@ class Template:
 
 
 def open_templates(spark: SparkSession, *paths: str) -> Template:
-    """analyze_report_template, analyze_uploaded_template: one scan, decoded and analysed."""
+    """Path A, templates: one scan, decoded and analysed."""
     files, _ = SRC.accepted(SRC.scan(spark, *paths), [".docx", ".doc"])
     cells, paragraphs, runs = SRC.cells(files), SRC.paragraphs(files), SRC.runs(files)
     fields, groups = FL.analyze(cells, paragraphs, runs)
@@ -44,7 +44,7 @@ def list_templates(registry: DataFrame) -> DataFrame:
 
 
 def prefill_from_files(spark: SparkSession, template: Template, knowledge: list[str], extractor: extract.Extractor | None = None) -> DataFrame:
-    """prefill_from_knowledge, prefill_from_multiple_knowledge: path A over one template and many knowledge files."""
+    """Path A over one template and many knowledge files."""
     texts = SRC.texts(SRC.scan(spark, *knowledge)).filter("success")
     return extract.prefill(spark, texts.select(F.col("path").alias("file"), "text"), expand.user_view(template.fields), extractor, "file")
 
@@ -59,12 +59,12 @@ def extract_facts(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def form_status(template: Template, writes: DataFrame) -> DataFrame:
-    """init_form_filling, update_form_fields, get_form_status: path B as a batch."""
+    """Path B as a batch."""
     return state.form_state(template.fields.select("field_id", "label", "ord"), state.fold(writes))
 
 
 def generate(template: Template, data: DataFrame, generic: bool = True) -> tuple[DataFrame, DataFrame]:
-    """generate_edu_report, generate_from_template, generate_form_document: path C. data (doc_id, json); gives the filled files and the edits."""
+    """Path C. data (doc_id, json); gives the filled files and the edits."""
     kept = lambda df: checkpointed(data.sparkSession, df)  # noqa: E731  used several times by the next step
     values = kept(expand.expanded(expand.kv_rows(data), template.fields, generic))
     classified, rows = template.roles
@@ -73,7 +73,7 @@ def generate(template: Template, data: DataFrame, generic: bool = True) -> tuple
 
 
 def check(spark: SparkSession, template: Template, filled: DataFrame) -> dict[str, DataFrame]:
-    """validate, compare, diff and repair filled files (path, content) against their templates, which have the same path."""
+    """VAL1, VAL9, JN15, FIX1-FIX3: validate, compare, diff and repair filled files (path, content) against their templates, which have the same path."""
     out = filled.select("path", F.lit(".docx").alias("ext"), F.length("content").cast("long").alias("length"), "content")
     cells, runs, nodes = (checkpointed(spark, d) for d in (SRC.cells(out), SRC.runs(out), SRC.nodes(out)))
     documents = out.select(F.col("path").alias("doc_id"))
@@ -90,14 +90,14 @@ def check(spark: SparkSession, template: Template, filled: DataFrame) -> dict[st
 
 
 def extract_from_old_report(template: Template, template_path: str, reports_scan: DataFrame) -> DataFrame:
-    """extract_from_old_report, prefill_from_old_report: values of old documents at the fields of one template."""
+    """EXT8: values of old documents at the fields of one template."""
     mark = lambda d: d.withColumn("template_id", F.lit(template_path))
     fields = template.fields.filter(F.col("doc_id") == template_path)
     return reports.extracted(fields, mark(SRC.cells(reports_scan)), mark(SRC.runs(reports_scan)))
 
 
 def fill_checklist(template: Template) -> DataFrame:
-    """get_fill_checklist."""
+    """AGG7: the preparation list."""
     return expand.checklist(template.fields)
 
 

@@ -7,6 +7,7 @@ import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Spark deletes the shuffle files of a finished SQL execution where this is set.
 CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -76,3 +77,12 @@ def discard(*tables: DataFrame) -> None:
 def checkpointed(spark: SparkSession, df: DataFrame) -> DataFrame:
     """``stored`` under the name of what it is for: each step of a plan starts from a table, not from its history."""
     return stored(spark, df, "step")
+
+
+#: Rows up to which a side is broadcast.
+BROADCAST_ROWS = 100_000
+
+
+def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """The frame with a broadcast hint if it has at most ``most`` rows; beyond that Spark chooses the join."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

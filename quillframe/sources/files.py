@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillframe.session import broadcast_if_small
 from quillframe.functions import text as T
 from quillframe.functions import values as V
 from quillframe.sources import ooxml
@@ -109,7 +110,7 @@ def nodes(files: DataFrame) -> DataFrame:
 def resolved_templates(names: DataFrame, registry: DataFrame, assets: str) -> DataFrame:
     """SRC11: (name) to path: the registry's, else the name if it is a path, else a file of that name among the assets."""
     given = F.when(F.contains("name", F.lit("/")), F.col("name"))
-    return names.join(F.broadcast(registry.select("name", F.col("path").alias("registered"))), "name", "left").select("name", F.coalesce("registered", given, F.concat(F.lit(assets.rstrip("/") + "/"), "name")).alias("path"))
+    return names.join(broadcast_if_small(registry.select("name", F.col("path").alias("registered"))), "name", "left").select("name", F.coalesce("registered", given, F.concat(F.lit(assets.rstrip("/") + "/"), "name")).alias("path"))
 
 
 def safe_path(path: str, roots: list[str]) -> str:
