@@ -49,8 +49,8 @@ def stored(spark: SparkSession, df: DataFrame, name: str = "table") -> DataFrame
     path = f"{shared_folder(spark).rstrip('/')}/quillframe-{name}-{uuid.uuid4().hex}"
     delete_at_end(spark, path)
     with setting(spark, CLEAN_SHUFFLES, "true"):
-        df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+        df.write.option("compression", "zstd").parquet(f"{path}/rows")
+    out = spark.read.schema(df.schema).parquet(f"{path}/rows")
     out._quillframe_path = path
     return out
 
@@ -61,9 +61,9 @@ def _filesystem(spark: SparkSession, path: str):
 
 
 def delete_at_end(spark: SparkSession, path: str) -> None:
-    """Have a folder deleted when the driver's JVM ends."""
+    """Make a folder that is deleted when the driver's JVM ends (only what exists can be marked so)."""
     system, at = _filesystem(spark, path)
-    system.mkdirs(at.getParent())
+    system.mkdirs(at)
     system.deleteOnExit(at)
 
 
