@@ -85,16 +85,23 @@ def repeated_words(rows: np.ndarray, window: int = WINDOW) -> int:
     n = len(rows) - window + 1
     if n < 2:
         return 0
+    many = int(rows.max()) + 1
     key = np.zeros(n, np.uint64)
-    for i in range(window):
-        key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + rows[i : i + n].astype(np.uint64) + np.uint64(1))
-    _, back, count = np.unique(key, return_inverse=True, return_counts=True)
-    hit = count[back] > 1
-    if not hit.any():
+    if many**window < 2**64:  # the window as one number in base ``many``
+        for i in range(window):
+            key *= np.uint64(many)
+            key += rows[i : i + n].view(np.uint64)
+    else:
+        for i in range(window):
+            key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + rows[i : i + n].view(np.uint64) + np.uint64(1))
+    order = np.sort(key)
+    again = order[1:][order[1:] == order[:-1]]
+    if not len(again):
         return 0
+    hit = np.isin(key, again)
     change = np.zeros(len(rows) + 1, np.int64)
-    np.add.at(change, np.flatnonzero(hit), 1)
-    np.add.at(change, np.flatnonzero(hit) + window, -1)
+    change[:n] += hit
+    change[window:] -= hit
     return int((np.cumsum(change[:-1]) > 0).sum())
 
 
@@ -117,7 +124,8 @@ def relative_entropy(tokens: np.ndarray, vocabulary: int) -> float:
     n = len(tokens)
     if n < 2:
         return 1.0
-    p = np.unique(tokens, return_counts=True)[1] / n
+    order = np.sort(tokens)
+    p = np.diff(np.flatnonzero(np.concatenate(([True], order[1:] != order[:-1], [True])))) / n
     return float(-(p * np.log2(p)).sum() / math.log2(min(n, vocabulary)))
 
 
